@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 WS = r"[ \t\n\r]"
+RELATIVE = "'../../x/./' || lang || '/../' || id || '.js'"
 PUNCT = r"[!-/:-@\[-^`{-~]"
 
 
@@ -136,7 +137,7 @@ def sql() -> dict[str, str]:
         "language_detect": f"SELECT doc_id, {LANG} AS language FROM documents",
         "identifier_split": f"""SELECT c_custkey, {_split("c_name || 'HTTPServerV2' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || '_x'")} AS words FROM customer""",
         "path_functions": files + "SELECT id, id || '.txt' AS base, source || '/' || lang AS dir, '.txt' AS ext, source AS top, path AS norm FROM files",
-        "normalize_relative": files + f"SELECT id, {_fold('path', '''../../x/./'' || lang || ''/../'' || id || ''.js''')} AS target FROM files",
+        "normalize_relative": files + f"SELECT id, {_fold('path', RELATIVE)} AS target FROM files",
         "symbol_text": f"WITH {NODES} SELECT id, substr(kind || ' — ' || qname || ' — ' || signature, 1, 1000) AS body FROM nodes",
         "trigram_index": f"WITH {NODES}, {TRIGRAMS} SELECT tri, node_id FROM grams",
         "dir_rollup": _rollup(1),

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _s(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema of "name type, ..."; read here, as workers import this module and have no session to parse with."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split(" ", 1) for x in text.split(", "))])
 
 
 FILES = _s("id bigint, path string, lang string, pack string, hash string, mtime bigint, size bigint, loc bigint, tok bigint, parsed boolean, skip_reason string, indexed_at bigint, subproject string")

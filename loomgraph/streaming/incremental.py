@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,10 +34,18 @@ def without_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Da
     return out
 
 
+def _micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column with or without time zone, or of one in milliseconds."""
+    kind = dict(events.dtypes)[ts]
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(ts) if kind == "timestamp" else F.col(ts) * 1000
+
+
 def debounce(events: DataFrame, key: str, ts: str, gap_ms: int = 250) -> DataFrame:
     """(key, started, ended, events): runs of events that follow each other within ``gap_ms``."""
     w = W.partitionBy(key).orderBy(ts)
-    at = F.unix_micros(ts) if dict(events.dtypes)[ts].startswith("timestamp") else F.col(ts) * 1000
+    at = _micros(events, ts)
     new = F.coalesce((at - F.lag(at).over(w)) > gap_ms * 1000, F.lit(True)).cast("int")
     runs = events.where(F.col(ts).isNotNull()).withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return runs.groupBy(key, "run").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("events")).drop("run")
@@ -45,7 +53,7 @@ def debounce(events: DataFrame, key: str, ts: str, gap_ms: int = 250) -> DataFra
 
 def throttle(events: DataFrame, key: str, ts: str, every_ms: int = 3000) -> DataFrame:
     """(key, fires): how often a throttled action fires: at the first event, then at the first one ``every_ms`` after the last that fired."""
-    at = F.unix_micros(ts) if dict(events.dtypes)[ts].startswith("timestamp") else F.col(ts) * 1000
+    at = _micros(events, ts)
     times = events.where(F.col(ts).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("t"))
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
 
