@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.common import map_arrow
 from loomgraph.llm.tokens import PATTERN, RANKS, TOKENIZERS, rank_path, ranks
 
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens int, round_trip boolean"
@@ -146,7 +147,7 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams(), id_col: str = "doc_
                 lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32(), mask=np.array([t is None for t in texts] + [False])), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), lists, n, pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), run, SCHEMA)
 
 
 def decode(encoded: DataFrame, params: BpeParams = BpeParams(), id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -159,6 +160,6 @@ def decode(encoded: DataFrame, params: BpeParams = BpeParams(), id_col: str = "d
             texts = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, "doc_id bigint, text string")
+    return map_arrow(encoded.select(id_col, ids_col), run, "doc_id bigint, text string")
 
 

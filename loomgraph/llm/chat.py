@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import map_arrow
 from loomgraph.llm.tokens import TOKENIZERS, encoding, rank_path
 
 SCHEMA = "conv_id bigint, window int, history_from int, turn_from int, turn_to int, n_tokens bigint, n_target_tokens bigint, over_budget boolean, text string, segments array<struct<turn: int, role: string, start: int, stop: int, is_target: boolean>>"
@@ -72,7 +73,7 @@ def windows(docs: DataFrame, params: ChatParams = ChatParams(), conv_col: str =
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return whole.mapInArrow(run, SCHEMA)
+    return map_arrow(whole, run, SCHEMA)
 
 
 ARROW = pa.schema([("conv_id", pa.int64()), *[(c, pa.int32()) for c in ("window", "history_from", "turn_from", "turn_to")], ("n_tokens", pa.int64()), ("n_target_tokens", pa.int64()), ("over_budget", pa.bool_()), ("text", pa.string()), ("segments", pa.list_(pa.struct([("turn", pa.int32()), ("role", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("is_target", pa.bool_())])))])

@@ -74,6 +74,24 @@ def doc_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         i = j
 
 
+#: Bytes of a batch that travels to a Python worker, unless the session names a figure of its own: texts are of any length,
+#: and 10,000 long ones at once would not fit a worker. A single longer text is a batch by itself.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over batches of about BATCH_BYTES at most; memory that Arrow keeps for reuse is returned after each task."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def tidy(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def filtered(df: DataFrame, keep) -> DataFrame:
     """Rows of ``df`` for which ``keep(record_batch) -> bool array`` holds; all columns stay as they are."""
 
@@ -82,7 +100,7 @@ def filtered(df: DataFrame, keep) -> DataFrame:
             if b.num_rows:
                 yield b.filter(pa.array(np.asarray(keep(b), dtype=bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def is_file_uri(path: str) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import filtered, text_buffer, written
+from loomgraph.llm.common import filtered, map_arrow, text_buffer, written
 from loomgraph.llm.quality import counts_frame, dense
 from loomgraph.llm.textvec import LETTERS, idf_of, ngram_counts, tfidf
 
@@ -111,7 +111,7 @@ def _calibrate(sample: DataFrame, model: LangModel) -> np.ndarray:
                     near = (tfidf(c, m.idf) @ m.centroids.T).max(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(length_class(n)[n > 0], pa.int32()), pa.array(near[n > 0].astype(np.float64))], names=["k", "s"])
 
-    rows = sample.select("_text").mapInArrow(run, "k int, s double").collect()
+    rows = map_arrow(sample.select("_text"), run, "k int, s double").collect()
     near = [np.array([r["s"] for r in rows if r["k"] == k]) for k in range(CLASSES)]
     low = np.array([np.quantile(s, model.params.quantile) if len(s) >= 20 else np.nan for s in near])
     ok = np.flatnonzero(~np.isnan(low))
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", t
             num = lambda v: pc.if_else(none, pa.scalar(None, pa.float64()), pa.array(v, pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), names, num(sim), num(1 - sim), num(far), pa.array(keep)], names=["doc_id", "language", "similarity", "distance", "max_distance", "is_kept"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), run, SCHEMA)
 
 
 def keep_known(docs: DataFrame, model: LangModel | None, text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import key_join, text_buffer, written
+from loomgraph.llm.common import key_join, map_arrow, text_buffer, written
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.textvec import mix, shingles, word_hashes
 
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, p: MinHashParams, id_col: str = "doc_id", text_col
                     sig[k] = signature(sh, a, b).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "h1", "h2", "sig"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SIG_SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), run, SIG_SCHEMA)
 
 
 def _branch(nodes: np.ndarray, owner: np.ndarray, keys: np.ndarray, p: MinHashParams) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def _first_levels(sigs: DataFrame, p: MinHashParams, only_nodes: bool = False) -
                     if len(nodes):
                         yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64))], names=["node"]) if only_nodes else _rows(nodes, owner, ids, bits)
 
-    return sigs.select("doc_id", "sig").mapInArrow(run, "node bigint" if only_nodes else ROW)
+    return map_arrow(sigs.select("doc_id", "sig"), run, "node bigint" if only_nodes else ROW)
 
 
 def _next_level(rows: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame:
@@ -152,7 +152,7 @@ def _next_level(rows: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame
                 nodes, owner = _branch(b.column("node").to_numpy().view(np.uint64), np.arange(b.num_rows), _keys(sig, p), p)
                 yield _rows(nodes, owner, b.column("doc_id").to_numpy(), _bits(sig))
 
-    return rows.select("node", "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").mapInArrow(run, ROW)
+    return map_arrow(rows.select("node", "doc_id").join(sigs.select("doc_id", "sig"), "doc_id"), run, ROW)
 
 
 def _forest(n: int, similar) -> tuple[list[int], list[int]]:
@@ -222,7 +222,7 @@ def _compare(rows: DataFrame, p: MinHashParams) -> DataFrame:
             if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(rows.repartition("node").sortWithinPartitions("node"), run, "a bigint, b bigint")
 
 
 def coarse_edges(sigs: DataFrame, p: MinHashParams) -> DataFrame:
@@ -280,7 +280,7 @@ def _refine(members: DataFrame, p: MinHashParams) -> DataFrame:
         if held:
             yield flush()
 
-    return members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "doc_id bigint, group_id bigint")
+    return map_arrow(members.repartition("cluster").sortWithinPartitions("cluster"), run, "doc_id bigint, group_id bigint")
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

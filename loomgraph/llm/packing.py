@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import map_arrow, written
 from loomgraph.llm.tokens import TOKENIZERS, encoding, rank_path
 
 SCHEMA = "doc_id bigint, piece int, token_from bigint, n_tokens int, tier int, window_id bigint, window_offset int, step_group bigint"
@@ -195,7 +195,7 @@ def piece_lengths(docs: DataFrame, params: PackingParams, id_col: str = "doc_id"
             shard = ids.fill_null(0).to_numpy(zero_copy_only=False) * 0x9E3779B1 % shards
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(piece * top), pa.array(size, pa.int32()), pa.array(shard, pa.int32())], names=["doc_id", "piece", "token_from", "n_tokens", "shard"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id bigint, piece int, token_from bigint, n_tokens int, shard int")
+    return map_arrow(docs.select(id_col, text_col), run, "doc_id bigint, piece int, token_from bigint, n_tokens int, shard int")
 
 
 def pack(docs: DataFrame, params: PackingParams = PackingParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,4 +220,4 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams(), id_col: str =
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "token_from", "n_tokens")), pa.array(tier, pa.int32()), pa.array(window), pa.array(offset, pa.int32()), pa.array(group)], names=["doc_id", "piece", "token_from", "n_tokens", "tier", "window_id", "window_offset", "step_group"])
 
     k = (F.row_number().over(W.partitionBy("n_tokens", "shard").orderBy("doc_id", "piece")) - 1).cast("bigint").alias("k")
-    return pieces.select("doc_id", "piece", "token_from", "n_tokens", "shard", k).mapInArrow(run, SCHEMA)
+    return map_arrow(pieces.select("doc_id", "piece", "token_from", "n_tokens", "shard", k), run, SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import filtered, text_buffer
+from loomgraph.llm.common import filtered, map_arrow, text_buffer
 from loomgraph.llm.textvec import idf_of, ngram_counts, tfidf
 
 SCHEMA = "doc_id bigint, score double, top_similarity double, n_votes int, is_kept boolean"
@@ -63,7 +63,7 @@ def counts_frame(docs: DataFrame, id_col: str, text_col: str, extra: list[str],
             yield pa.RecordBatch.from_arrays([b.column(c) for c in [id_col, *extra]] + [pa.array(out, pa.binary())], names=[id_col, *extra, "counts"])
 
     cols = docs.select(id_col, *extra, text_col)
-    return cols.mapInArrow(run, ", ".join(f"`{c}` {cols.schema[c].dataType.simpleString()}" for c in [id_col, *extra]) + ", counts binary")
+    return map_arrow(cols, run, ", ".join(f"`{c}` {cols.schema[c].dataType.simpleString()}" for c in [id_col, *extra]) + ", counts binary")
 
 
 def dense(rows: list[bytes], dim: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
             s, top, n, keep = _score_batch(shared.value, b, id_col, text_col)
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(s, pa.float64(), from_pandas=True), pa.array(top, pa.float64(), from_pandas=True), pa.array(n.astype(np.int32)), pa.array(keep)], names=["doc_id", "score", "top_similarity", "n_votes", "is_kept"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.common import map_arrow
 from loomgraph.llm.tokens import TOKENIZERS, encoding, rank_path
 
 SCHEMA = "doc_id bigint, n_tokens bigint, n_chunks int, n_widened int"
@@ -128,4 +129,4 @@ def token_counts(docs: DataFrame, params: TokenCountParams = TokenCountParams(),
             n, c, w = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int32()), pa.array(w, pa.int32())], names=["doc_id", "n_tokens", "n_chunks", "n_widened"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), run, SCHEMA)

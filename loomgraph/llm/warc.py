@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import key_join, shared_dir, written
+from loomgraph.llm.common import key_join, map_arrow, shared_dir, written
 
 MANIFEST = "record_id bigint, warc_type string, payload_digest string, refers_to bigint, payload_bytes bigint, archive string, record_offset bigint, record_length bigint"
 EPOCH = "1970-01-01T00:00:00Z"
@@ -163,7 +163,7 @@ def write_archives(records: DataFrame, folder: str | None = None, params: WarcPa
         if archive:
             archive.out.close()
 
-    return written(joined.mapInArrow(run, MANIFEST), "warc-manifest")
+    return written(map_arrow(joined, run, MANIFEST), "warc-manifest")
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -201,4 +201,4 @@ def read_archives(spark, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), *[pa.string()] * 6, pa.binary()))], names=[x.split()[0] for x in fields.split(", ")])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content").mapInArrow(run, fields)
+    return map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content"), run, fields)
