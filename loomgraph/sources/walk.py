@@ -117,22 +117,73 @@ def global_rules(root: str) -> list[str]:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size) of every file, paths relative with forward slashes; contents are not read. Symbolic links and unreadable files are left out."""
-    base = os.path.realpath(root)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(base)
-    return rows.select(_relative(base).alias("path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    """(path, mtime, size) of every file, paths relative with forward slashes; contents are not read. Symbolic links and unreadable files are left out.
 
+    Spark's own file index hides names that begin with a dot or an underscore, which repositories are full of. So the driver lists two
+    levels, and tasks walk the directories below; ``root`` is on a file system that all executors share."""
+    base = os.path.realpath(root)
+    top, deep = _scan(base, "")
+    below = []
+    for d in deep:
+        files, dirs = _scan(base, d)
+        top += files
+        below += dirs
 
-def _relative(base: str) -> Column:
-    plain = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-    return F.substring(plain, len(base) + 2, 1 << 20)
+    def run(it):
+        for b in it:
+            for d in b.column("dir").to_pylist():
+                todo, rows = [d], []
+                while todo:
+                    files, dirs = _scan(base, todo.pop())
+                    rows += files
+                    todo += dirs
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["path", "mtime", "size"])
+
+    schema = "path string, mtime bigint, size bigint"
+    here = spark.createDataFrame(top, schema)
+    if not below:
+        return here
+    return here.unionByName(spark.createDataFrame([(d,) for d in below], "dir string").repartition(min(len(below), 512), "dir").mapInArrow(run, schema))
+
+
+def _scan(base: str, directory: str) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Files (path, mtime, size) and directories of one directory, relative to ``base``; the repository's own .git is left out."""
+    files, dirs = [], []
+    try:
+        entries = sorted(os.scandir(os.path.join(base, directory)), key=lambda e: e.name)
+    except OSError:
+        return files, dirs
+    for e in entries:
+        rel = f"{directory}/{e.name}" if directory else e.name
+        try:
+            if e.is_symlink():
+                continue
+            if e.is_dir():
+                if e.name != ".git":
+                    dirs.append(rel)
+            elif e.is_file():
+                st = e.stat()
+                files.append((rel, st.st_mtime_ns // 1_000_000, st.st_size))
+        except OSError:
+            continue
+    return files, dirs
 
 
 def read_contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """(path, content) of the listed paths."""
+    """(path, content) of the listed paths; what can't be read any more is left out."""
     base = os.path.realpath(root)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(base)
-    return rows.select(_relative(base).alias("path"), "content").join(paths.select("path"), "path", "left_semi")
+
+    def run(it):
+        for b in it:
+            for path in b.column("path").to_pylist():
+                try:
+                    with open(os.path.join(base, path), "rb") as f:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+                except OSError:
+                    continue
+
+    return paths.select("path").distinct().mapInArrow(run, "path string, content binary")
 
 
 def not_ignored(files: DataFrame, frames: dict[str, list[str]]) -> DataFrame:
@@ -149,9 +200,10 @@ def not_ignored(files: DataFrame, frames: dict[str, list[str]]) -> DataFrame:
 def ignore_frames(spark: SparkSession, root: str, config: WalkConfig = WalkConfig()) -> dict[str, list[str]]:
     """Rules by directory: configured and global ones at the root, then each ignore file's. Ignore files are few and small: they come to the driver."""
     base = os.path.realpath(root)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{.gitignore," + TOOL_IGNORE + "}").load(base)
+    found = listing(spark, root).where(F.substring_index("path", "/", -1).isin(".gitignore", TOOL_IGNORE))
+    rows = read_contents(spark, root, found).select("path", F.decode("content", "utf-8").alias("t")).collect()
     out: dict[str, list[str]] = {"": [*config.ignore, *global_rules(base)]}
-    for r in sorted(rows.select(_relative(base).alias("path"), F.decode("content", "utf-8").alias("t")).collect(), key=lambda r: r["path"]):
+    for r in sorted(rows, key=lambda r: r["path"]):
         out.setdefault(os.path.dirname(r["path"]), []).extend(r["t"].splitlines())
     return out
 
