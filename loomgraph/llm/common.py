@@ -22,9 +22,11 @@ SLICE_BYTES = 1 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach. The cluster names it in ``spark.checkpoint.dir``;
-    only where that is unset (tests, local mode) a temporary folder is chosen and set."""
+    only where that is unset and the master is local (tests) a temporary folder is chosen and set; a cluster without it is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -41,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def integer_id(df: DataFrame, col: str) -> None:
+    if df.schema[col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{col} must be an integer column, not {df.schema[col].dataType.simpleString()}")
+
+
 def key_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join ``left`` with ``keys`` (few narrow columns, already written). The right side is
     counted: up to BROADCAST_KEYS rows it is broadcast, beyond that both sides shuffle."""

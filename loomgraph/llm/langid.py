@@ -3,17 +3,20 @@
 Fit: a bounded sample of documents per language (``per_language``, lowest hashes of the ids) gives TF-IDF
 weights of hashed letter trigrams; spherical k-means makes ``clusters`` centroids per language. Short texts
 lie farther from any centroid, so the largest accepted distance is fitted for each length class (the number
-of letter trigrams, by powers of two): the similarity that all but ``quantile`` of pieces of such lengths
-reach, times ``slack``, must be reached. Centroids and decisions rest on whole texts; only this calibration
-also looks at pieces of the sampled texts.
+of letter trigrams, by powers of two): the similarity that all but ``quantile`` of examples of such lengths
+reach, times ``slack``, must be reached. Centroids and decisions rest on whole texts. The examples are the sampled
+texts as they are and, of each, one piece of every length in ``piece_chars`` that it exceeds, from a place that a hash of the text names; all count alike.
 
 Defined results: a null or empty text, or one without three letters in a row, has no vector; its language
 is null and it is rejected. Ties go to the language that comes first in alphabetical order. Documents whose language is
-null don't take part in the fit. Repeated rows are each classified. Without any usable document all are rejected.
+null don't take part in the fit; of rows that share an id and a language the fit takes the lowest text. Repeated rows are each
+classified. Null ids are classified, but not fitted on. Without any usable document all are rejected. Only the id, text and language
+columns are looked at, so others may have any name.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import filtered, map_arrow, text_buffer, written
+from loomgraph.llm.common import filtered, key_join, map_arrow, text_buffer, written
 from loomgraph.llm.quality import counts_frame, dense
 from loomgraph.llm.textvec import LETTERS, idf_of, ngram_counts, tfidf
 
@@ -33,13 +36,14 @@ CLASSES = 24
 
 @dataclass(frozen=True)
 class LangParams:
-    """``per_language`` bounds the sample that the centroids are fitted on."""
+    """``per_language`` bounds the sample that the centroids are fitted on; ``piece_chars`` are the lengths of the pieces that the rejection is calibrated on."""
 
     per_language: int = 600
     dim: int = 4096
     clusters: int = 4
     quantile: float = 0.001
     slack: float = 0.7
+    piece_chars: tuple[int, ...] = (20, 40, 80, 160, 320, 640, 1280, 2560, 5120, 10_240)
     seed: int = 11
 
 
@@ -77,12 +81,13 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 def fit(docs: DataFrame, params: LangParams = LangParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel | None:
     """Fit on at most ``per_language`` documents of each language; None where no document has both language and text."""
-    ids = docs.select(id_col, lang_col).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    chosen = ids.withColumn("_r", rank).where(F.col("_r") <= params.per_language).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    # one row for each id and language first: a repeated id takes one place of the sample, and the sample stays bounded
+    ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where("_lang is not null and _id is not null").distinct()
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    chosen = written(ids.withColumn("_r", rank).where(F.col("_r") <= params.per_language).select("_id", "_lang"), "langid-chosen")
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_text").isNotNull())
-    sample = written(picked.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi"), "langid-sample")
-    rows = counts_frame(sample, "_id", "_text", ["_lang"], params.dim, LETTERS, lower=True).distinct().collect()
+    sample = written(key_join(picked, chosen, ["_id", "_lang"], "left_semi").groupBy("_id", "_lang").agg(F.min("_text").alias("_text")), "langid-sample")
+    rows = counts_frame(sample, "_id", "_text", ["_lang"], params.dim, LETTERS, lower=True).collect()
     rows = sorted((r for r in rows if len(r["counts"])), key=lambda r: (r["_lang"], r["_id"], bytes(r["counts"])))
     if not rows:
         return None
@@ -104,9 +109,13 @@ def _calibrate(sample: DataFrame, model: LangModel) -> np.ndarray:
     def run(it):
         m = shared.value
         for b in it:
-            texts = [t for t in b.column("_text").to_pylist() if t]
-            for size in [20, 40, 80, 160, 320, 640, 1280, 2560, 5120, 10_240, None]:
-                for _, _, c in _counts(pa.array([t[:size] for t in texts], pa.string()), m.params.dim):
+            texts = [(t, zlib.crc32(t.encode())) for t in b.column("_text").to_pylist() if t]
+            for size in (*m.params.piece_chars, None):
+                if size is None:
+                    parts = [t for t, _ in texts]
+                else:
+                    parts = [t[(at := h % (len(t) - size)) : at + size] for t, h in texts if len(t) > size]
+                for _, _, c in _counts(pa.array(parts, pa.string()), m.params.dim):
                     n = c.sum(axis=1)
                     near = (tfidf(c, m.idf) @ m.centroids.T).max(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(length_class(n)[n > 0], pa.int32()), pa.array(near[n > 0].astype(np.float64))], names=["k", "s"])

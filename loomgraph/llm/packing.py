@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import map_arrow, written
-from loomgraph.llm.tokens import TOKENIZERS, encoding, rank_path
+from loomgraph.llm.tokens import TOKENIZERS, encode, rank_path
 
 SCHEMA = "doc_id bigint, piece int, token_from bigint, n_tokens int, tier int, window_id bigint, window_offset int, step_group bigint"
 
@@ -184,9 +184,8 @@ def piece_lengths(docs: DataFrame, params: PackingParams, id_col: str = "doc_id"
     path, top, shards = rank_path(params.tokenizers), max(params.tiers), params.shards
 
     def run(it):
-        enc = encoding(path)
         for b in it:
-            n = np.array([len(enc.encode_ordinary(t)) + 1 if t else 0 for t in b.column(text_col).to_pylist()], np.int64)
+            n = np.array([len(encode(path, t)) + 1 if t else 0 for t in b.column(text_col).to_pylist()], np.int64)
             pieces = -(-n // top)
             row = np.repeat(np.arange(len(n)), pieces)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

@@ -7,8 +7,9 @@ cosines with all labelled vectors are computed exactly in blocks; the ``k`` near
 
 Defined results: a null or empty text, or one of fewer than three bytes, has no vector, hence no
 neighbours: score null, kept. Neighbours tied with the k-th all vote. A labelled document never votes on
-itself. Labels that are null are ignored; an id labelled twice counts once, with its lower label. Repeated
-rows are each scored. Without labels of both classes all scores are null and all documents are kept.
+itself. Labels that are null are ignored; an id labelled twice counts once, with its lower label; of labelled rows that share an id
+the lowest text is fitted on. Repeated rows are each scored. Null ids are scored. Ids are integers: any other type raises a TypeError at once.
+Without labels of both classes all scores are null and all documents are kept. An empty table gives an empty result.
 Columns other than the id and the text are never looked at, so their names don't matter.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import filtered, map_arrow, text_buffer
+from loomgraph.llm.common import filtered, integer_id, map_arrow, text_buffer
 from loomgraph.llm.textvec import idf_of, ngram_counts, tfidf
 
 SCHEMA = "doc_id bigint, score double, top_similarity double, n_votes int, is_kept boolean"
@@ -76,16 +77,16 @@ def dense(rows: list[bytes], dim: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
     """Fit on at most ``max_labelled`` labelled documents, as many good as bad where there are enough; None without both classes."""
+    integer_id(docs, id_col), integer_id(labels, id_col)
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).where(F.col(id_col).isNotNull() & F.col("_y").isin(0, 1))
     known = known.groupBy(id_col).agg(F.min("_y").alias("_y"))
     half = params.max_labelled // 2
     order = [F.xxhash64(id_col), F.col(id_col)]
     chosen = known.where("_y = 0").orderBy(*order).limit(half).unionByName(known.where("_y = 1").orderBy(*order).limit(half))
-    rows = counts_frame(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col), id_col, text_col, ["_y"], params.dim).collect()
-    first = {}
-    for r in sorted(rows, key=lambda r: (r[id_col], bytes(r["counts"]))):
-        if len(r["counts"]):
-            first.setdefault(r[id_col], r)
+    # at most max_labelled rows come out of this, however often an id is repeated
+    picked = docs.select(id_col, F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(chosen), id_col).groupBy(id_col, "_y").agg(F.min("_text").alias("_text"))
+    rows = counts_frame(picked, id_col, "_text", ["_y"], params.dim).collect()
+    first = {r[id_col]: r for r in sorted(rows, key=lambda r: r[id_col]) if len(r["counts"])}
     if len({r["_y"] for r in first.values()}) < 2:
         return None
     x = dense([r["counts"] for r in first.values()], params.dim)
@@ -144,6 +145,7 @@ def _broadcast(docs: DataFrame, model: QualityModel | None):
 
 def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every row of ``docs``: SCHEMA."""
+    integer_id(docs, id_col)
     if model is None:
         return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("top_similarity"), F.lit(0).alias("n_votes"), F.lit(True).alias("is_kept"))
     shared = _broadcast(docs, model)
@@ -158,6 +160,7 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns; one pass, no shuffle."""
+    integer_id(docs, id_col)
     if model is None:
         return docs
     shared = _broadcast(docs, model)

@@ -73,7 +73,7 @@ def _words(b: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """(index, hashes of the document's words in order) for every document of a buffer of lower-cased text.
-    A run of more than SLICE_BYTES bytes without a space is cut every SLICE_BYTES bytes."""
+    A long document goes in slices that end at spaces; a slice grows until it has one, so a word's hash never depends on where it stands."""
     for i, j in doc_slices(offsets):
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi - lo <= 2 * SLICE_BYTES:
@@ -90,10 +90,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORDS)
             while lo < hi:
                 end = min(hi, lo + SLICE_BYTES)
                 b = table[raw[lo:end]]
-                if end < hi:
-                    space = np.flatnonzero(b == 32)
-                    if len(space) and space[-1] > 0:
-                        b = b[: space[-1]]
+                while end < hi:
+                    space = np.flatnonzero(b[1:] == 32)
+                    if len(space):
+                        b = b[: space[-1] + 1]
+                        break
+                    end = min(hi, lo + 2 * (end - lo))
+                    b = table[raw[lo:end]]
                 parts.append(_words(b, none)[0])
                 lo += len(b)
             yield i, np.concatenate(parts)

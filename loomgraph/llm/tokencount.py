@@ -12,6 +12,7 @@ Defined results: a null text has a null count, an empty one 0. Repeated rows are
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.common import map_arrow
-from loomgraph.llm.tokens import TOKENIZERS, encoding, rank_path
+from loomgraph.llm.tokens import TOKENIZERS, WHITE, encode, rank_path, ranks
 
 SCHEMA = "doc_id bigint, n_tokens bigint, n_chunks int, n_widened int"
 
@@ -31,58 +32,63 @@ class TokenCountParams:
     tokenizers: str = TOKENIZERS
 
 
-def _offsets(enc, tokens: list[int], lengths: np.ndarray) -> np.ndarray:
+#: A white space after a character that is none and before one more character, as the splitting pattern understands white space.
+_BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}](?s:.))")
+
+
+def _offsets(tokens: list[int], lengths: np.ndarray) -> np.ndarray:
     """Byte offset at which each token begins, and the end."""
     out = np.zeros(len(tokens) + 1, np.int64)
     np.cumsum(lengths[np.array(tokens, np.int64)], out=out[1:])
     return out
 
 
-def token_lengths(enc) -> np.ndarray:
-    out = np.zeros(enc.n_vocab, np.int64)
-    for b, i in enc._mergeable_ranks.items():
+def token_lengths(path: str) -> np.ndarray:
+    """Bytes of each token of a rank file."""
+    table = ranks(path)
+    out = np.zeros(max(table.values()) + 1, np.int64)
+    for b, i in table.items():
         out[i] = len(b)
     return out
 
 
 def _proven(text: str, lo: int, hi: int) -> list[int]:
     """Character positions p in (lo, hi) with text[p-1] not white space and text[p] white space followed by one more character of the window."""
-    return [p for p in range(lo + 1, hi - 1) if text[p].isspace() and not text[p - 1].isspace()]
+    return [lo + m.start() for m in _BOUNDARY.finditer(text[lo:hi]) if m.start()]
 
 
-def encode_spliced(text: str, enc, lengths: np.ndarray, chunk: int, overlap: int) -> tuple[list[int], int, int]:
+def encode_spliced(text: str, path: str, lengths: np.ndarray, chunk: int, overlap: int) -> tuple[list[int], int, int]:
     """(tokens, chunks, widenings) of a text of any length; the tokens equal those of encoding it at once."""
     if len(text) <= chunk:
-        return enc.encode_ordinary(text), 1, 0
+        return encode(path, text), 1, 0
     out: list[int] = []
     done, start, chunks, widened = 0, 0, 0, 0  # text before ``done`` is in ``out``
     end = min(len(text), chunk)
-    left = enc.encode_ordinary(text[start:end])
+    left = None  # tokens of text[start:end], once they are wanted
     while True:
         chunks += 1
         if end == len(text):
-            out += _after(text, start, done, left, enc, lengths)
-            return out, chunks, widened
+            return out + _between(text, start, done, end, encode(path, text[start:]) if left is None else left, lengths), chunks, widened
         # the next chunk begins ``wide`` characters before this one's end
-        wide = overlap
+        wide, p = overlap, None
         while True:
             nxt = max(done, end - wide)
             nxt_end = min(len(text), nxt + max(chunk, 2 * wide))
-            right = enc.encode_ordinary(text[nxt:nxt_end])
-            p = _splice(text, start, end, left, nxt, right, enc, lengths)
-            if p is not None:
-                break
+            if places := _proven(text, nxt, end):
+                left = encode(path, text[start:end]) if left is None else left
+                right = encode(path, text[nxt:nxt_end])
+                p = _splice(text, start, left, nxt, right, places, lengths)
+                if p is not None:
+                    break
             widened += 1
-            if nxt == done:  # nothing left to widen to the left: encode the longer text from here at once
-                end = min(len(text), end + max(chunk, 2 * wide))
-                left, start = enc.encode_ordinary(text[done:end]), done
+            if nxt == done:  # nothing left to widen to the left: take a longer text from here
+                end, start, left = min(len(text), end + max(chunk, 2 * wide)), done, None
                 if end == len(text):
                     break
             wide *= 2
-        if p is None:
-            continue
-        out += _before(text, start, done, p, left, enc, lengths)
-        done, start, end, left = p, nxt, nxt_end, right
+        if p is not None:
+            out += _between(text, start, done, p, left, lengths)
+            done, start, end, left = p, nxt, nxt_end, right
 
 
 def _cut(text: str, start: int, p: int, tokens: list[int], lengths: np.ndarray) -> int:
@@ -96,21 +102,17 @@ def _cut(text: str, start: int, p: int, tokens: list[int], lengths: np.ndarray)
     return k
 
 
-def _before(text, start, done, p, tokens, enc, lengths) -> list[int]:
-    return tokens[_cut(text, start, done, tokens, lengths) : _cut(text, start, p, tokens, lengths)]
-
-
-def _after(text, start, done, tokens, enc, lengths) -> list[int]:
-    return tokens[_cut(text, start, done, tokens, lengths) :]
+def _between(text, start, lo, hi, tokens, lengths) -> list[int]:
+    """Those of the tokens of text[start:...] that begin in [lo, hi)."""
+    return tokens[_cut(text, start, lo, tokens, lengths) : _cut(text, start, hi, tokens, lengths)]
 
 
-def _splice(text, start, end, left, nxt, right, enc, lengths) -> int | None:
-    """The middle position that is a token boundary in both encodings and proven; None without one."""
+def _splice(text, start, left, nxt, right, places, lengths) -> int | None:
+    """The middle one of the proven places that is a token boundary in both encodings; None without one."""
     both = []
     base = len(text[start:nxt].encode("utf-8"))
-    lo = set((_offsets(enc, left, lengths)).tolist())
-    ro = set((_offsets(enc, right, lengths)).tolist())
-    for p in _proven(text, nxt, end):
+    lo, ro = set(_offsets(left, lengths).tolist()), set(_offsets(right, lengths).tolist())
+    for p in places:
         at = len(text[nxt:p].encode("utf-8"))
         if base + at in lo and at in ro:
             both.append(p)
@@ -122,10 +124,9 @@ def token_counts(docs: DataFrame, params: TokenCountParams = TokenCountParams(),
     path = rank_path(params.tokenizers)
 
     def run(it):
-        enc = encoding(path)
-        lengths = token_lengths(enc)
+        lengths = token_lengths(path)
         for b in it:
-            rows = [(None, None, None) if t is None else (len(x[0]), x[1], x[2]) if (x := encode_spliced(t, enc, lengths, params.chunk_chars, params.overlap_chars)) else None for t in b.column(text_col).to_pylist()]
+            rows = [(None, None, None) if t is None else (len(x[0]), x[1], x[2]) if (x := encode_spliced(t, path, lengths, params.chunk_chars, params.overlap_chars)) else None for t in b.column(text_col).to_pylist()]
             n, c, w = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int32()), pa.array(w, pa.int32())], names=["doc_id", "n_tokens", "n_chunks", "n_widened"])
 
