@@ -36,11 +36,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors,
-    and gives the planner the true size of the result (so broadcasts rest on file sizes)."""
+    and gives the planner the true size of the result (so broadcasts rest on file sizes). The table
+    is deleted by ``dispose``, at the latest when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def again(df: DataFrame) -> DataFrame:
+    """The same written table as another relation: for joining it with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._written)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at.getParent())
+    files.deleteOnExit(at)
+    path = files.makeQualified(at).toString()
+    return path if "://" in path else path.replace("file:/", "file:///", 1)
+
+
+def dispose(*frames: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more: what was made of them has been written itself."""
+    for df in frames:
+        if df is not None:
+            remove(df.sparkSession, df._written)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slots(spark: SparkSession) -> int:
+    """Tasks that a wide step should have at least: the session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def integer_id(df: DataFrame, col: str) -> None:

@@ -34,15 +34,19 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embdedup.pairs(read(spark, sf_dir, "embeddings"))
+    return embdedup.classes(read(spark, sf_dir, "embeddings"))
 
 
 OP3_SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0)
-SELECT id_a, id_b, max(cosine) AS cosine FROM (
-  SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
-  FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {embdedup.EmbeddingParams().threshold}
-) GROUP BY ALL
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(min(embedding), lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embdedup.EmbeddingParams().threshold}),
+reached(id, low) AS (SELECT a, a FROM links UNION SELECT l.b, r.low FROM reached r JOIN links l ON l.a = r.id),
+class AS (SELECT id, min(low) AS low FROM reached GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(low, v.vec_id) AS class_id, coalesce(n, 0) AS n_links
+FROM v LEFT JOIN class ON id = v.vec_id LEFT JOIN degree ON a = v.vec_id
 """
 
 
