@@ -6,7 +6,8 @@ sentencepiece joins the neighbours whose piece scores highest, the leftmost firs
 order of the ranks. Texts are split by the vocabulary's pattern; distinct pre-tokens are encoded by sentencepiece once for each
 batch and worker (a bounded memory of recent ones saves repeats), and decoding maps ids back to their bytes.
 
-Defined results: a null text gives null ids and null checks; an empty one no ids. Repeated rows are each encoded. Extra columns aren't read.
+Defined results: a null text gives null ids and null checks; an empty one no ids. Repeated rows are each encoded. Extra columns aren't read. Decoding writes U+FFFD for
+an id that is null, negative or not in the vocabulary, and for bytes that are no UTF-8. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,8 +121,13 @@ class ByteBpe:
         return self.flat[at].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of the ids; bytes that are no UTF-8 become U+FFFD."""
-        return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+        """The text of the ids; unknown ids and bytes that are no UTF-8 become U+FFFD."""
+        ids = np.asarray(ids, np.int64)
+        bad = np.flatnonzero((ids < 0) | (ids >= len(self.lengths)))
+        if not len(bad):
+            return self.decode_bytes(ids).decode("utf-8", "replace")
+        parts = np.split(ids, np.sort(np.concatenate([bad, bad + 1])))  # every second part is one unknown id
+        return b"\xef\xbf\xbd".join(self.decode_bytes(x) for x in parts[::2]).decode("utf-8", "replace")
 
 
 @functools.lru_cache(2)
@@ -157,7 +163,7 @@ def decode(encoded: DataFrame, params: BpeParams = BpeParams(), id_col: str = "d
     def run(it):
         bpe = byte_bpe(path)
         for b in it:
-            texts = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in b.column(ids_col).to_pylist()]
+            texts = [None if x is None else bpe.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return map_arrow(encoded.select(id_col, ids_col), run, "doc_id bigint, text string")

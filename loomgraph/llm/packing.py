@@ -10,7 +10,8 @@ counts by (length, shard). Windows of a tier, from fullest to emptiest, are deal
 have nearly equal numbers of tokens; a group has ``step_tokens`` tokens' worth of windows.
 
 Lengths are token counts by the byte-level vocabulary, over whole texts, plus one end token each. Defined results: a null or empty text has nothing to pack and gives no
-row. Repeated rows are packed once each, in turn. Null ids are packed too. Ties between windows go to the older one. An empty table gives an empty result.
+row. Repeated rows are packed once each, in turn. Null ids are packed too. Ties between windows go to the one that has had that gap for longer. An empty table gives an empty result. Only the
+id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -191,7 +192,12 @@ def piece_lengths(docs: DataFrame, params: PackingParams, id_col: str = "doc_id"
             piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             size = np.minimum(n[row] - piece * top, top)
             ids = b.column(id_col).cast(pa.int64()).take(pa.array(row))
-            shard = ids.fill_null(0).to_numpy(zero_copy_only=False) * 0x9E3779B1 % shards
+            key = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            run = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, int)
+            nth = np.empty(len(key), np.int64)
+            nth[order] = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
+            shard = (key * 0x9E3779B1 + nth) % shards  # rows that share an id, or have none, are spread too
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(piece * top), pa.array(size, pa.int32()), pa.array(shard, pa.int32())], names=["doc_id", "piece", "token_from", "n_tokens", "shard"])
 
     return map_arrow(docs.select(id_col, text_col), run, "doc_id bigint, piece int, token_from bigint, n_tokens int, shard int")

@@ -1,14 +1,24 @@
 """The ten operators against brute force, exact round trips and held-out accuracy, and the defined results of awkward rows."""
 
+import gzip
+import io
+import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, chat, embdedup, hnsw, langid, minhash, packing, quality, tokencount, warc
-from loomgraph.llm.tokens import encoding, rank_path
-from tests.compare import SF
+from loomgraph.llm import registry as llm_registry
+from loomgraph.llm.bpe import byte_bpe
+from loomgraph.llm.common import dispose, written
+from loomgraph.llm.components import connected_components
+from loomgraph.llm.textvec import word_hashes
+from loomgraph.llm.tokens import encode, encoding, rank_path
+from tests.compare import SF, rows
+from tests.llm import brute
 
 AWKWARD = [(1, "one two three four five six seven eight"), (1, "one two three four five six seven eight"), (2, ""), (3, None), (None, "one two three four five six seven eight"), (4, "long " * 30_000), (5, "x" * 40_000), (6, "?! ...")]
 
@@ -24,9 +34,12 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").cache()
 
 
+RECORDS = "record_id bigint, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to bigint, payload binary"
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "response", "http://a", "2020-01-02T00:00:00Z", None, None, bytearray(b"same")), (2, "response", "http://b", "2020-01-01T00:00:00Z", None, None, bytearray(b"same")), (3, "revisit", "http://c", None, "0" * 40, None, None), (4, "response", None, None, None, None, None), (None, "response", "x", "x", None, None, None), (4, "response", None, None, None, None, None)]
-    rec = spark.createDataFrame(rows, "record_id bigint, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to bigint, payload binary")
+    rec = spark.createDataFrame(rows, RECORDS).withColumns({c: F.lit(1) for c in ("later", "o", "h", "digest", "_revisit")})
     m = {r["record_id"]: r for r in warc.write_archives(rec, str(tmp_path / "out")).collect()}
     assert set(m) == {1, 2, 3, 4}
     assert m[2]["warc_type"] == "response" and m[1]["warc_type"] == "revisit" and m[1]["refers_to"] == 2
@@ -36,26 +49,54 @@ def test_warc(spark, tmp_path):
     assert warc.write_archives(rec.limit(0)).count() == 0
 
 
+def test_warc_repeated_id_is_one_record(spark, tmp_path):
+    """Header and payload of a repeated id come from the same row, the first by date, URI and computed digest."""
+    rows = [(1, "response", "u", "d", None, None, bytearray(b"zz")), (1, "response", "u", "d", None, None, bytearray(b"aa")), (1, "response", "u", "d", "0" * 40, None, bytearray(b"told")), (2, "response", "u", "e", None, None, bytearray(b"aa"))]
+    warc.write_archives(spark.createDataFrame(rows, RECORDS), str(tmp_path / "out"))
+    got = {r["record_urn"]: r for r in warc.read_archives(spark, str(tmp_path / "out")).collect()}
+    assert bytes(got[warc.urn(1)]["payload"]) == b"told" and got[warc.urn(1)]["payload_digest"] == "sha1:" + "A" * 32
+
+
+def test_warc_round_trip(spark, tmp_path):
+    """Records of all types, with heads and headers of their own, written, read, written again and read are the same."""
+    zeros = "sha1:" + "A" * 32
+    rows = [(1, "warcinfo", None, "a", None, None, bytearray(b"software: x"), None, None), (2, "request", "http://a", "b", None, None, bytearray(b"GET /"), None, None), (3, "response", "http://a", "c", None, None, bytearray(b"x\r\n\r\ny" * 100_000), bytearray(b"HTTP/1.1 404 No\r\nA: b\r\n\r\n"), "WARC-IP-Address: 1.2.3.4\r\n"), (4, "response", "http://b", "d", None, None, bytearray(b"x\r\n\r\ny" * 100_000), None, None), (5, "revisit", "http://c", "d", zeros, None, None, None, None), (6, "metadata", None, None, "md5:00", None, None, None, None)]
+    rec = spark.createDataFrame(rows, RECORDS + ", http_head binary, extra_headers string")
+    seen = []
+    for k in range(2):
+        warc.write_archives(rec, str(tmp_path / str(k)))
+        rec = warc.read_archives(spark, str(tmp_path / str(k)))
+        seen.append(sorted(str(r) for r in rec.drop("archive", "record_offset").collect()))
+    assert len(seen[0]) == 6 and seen[0] == seen[1]
+    kinds = Counter(r["warc_type"] for r in rec.collect())
+    assert kinds == {"warcinfo": 1, "request": 1, "response": 1, "revisit": 2, "metadata": 1}
+
+
+def test_warc_digest_forms_and_streams(spark):
+    plain = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    forms = [plain, plain.upper(), warc.digest_header(plain), warc.digest_header(plain).lower(), warc.digest_header(plain)[5:], "MD5:Ab", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in forms], "d string").coalesce(1).select(warc.same_digest(F.col("d")).alias("d")).collect()]
+    assert got == [plain] * 5 + ["md5:Ab", None, None]
+    records = [warc.record_bytes({"record_id": i, "warc_type": "resource", "payload": b"x" * i, "warc_date": None, "target_uri": "u", "payload_digest": None}) for i in range(300)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        found = list(warc.parse(io.BytesIO(data)))
+        assert [len(b) for _, _, b in found] == list(range(300))
+    for at, head, _ in found:  # offsets of separately compressed records lead to them
+        assert dict(head)["WARC-Record-ID"] in gzip.GzipFile(fileobj=io.BytesIO(data[at:])).read(400).decode()
+    for bad in (b"no record", records[9][:-8], b"WARC/1.1\r\nA: b\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BytesIO(bad)))
+
+
 def test_quality_votes(spark, documents):
-    """Scores equal those of a plain loop over dictionaries of trigrams."""
+    """Scores equal those of a plain loop over dictionaries of trigrams, but where float32 ties at the k-th place let another neighbour vote."""
     model = quality.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
-    sample = documents.orderBy("doc_id").limit(40)
+    sample = documents.orderBy("doc_id").limit(60)
     got = {r["doc_id"]: r for r in quality.score(sample, model).collect()}
-    for d in sample.collect():
-        raw, h = d["text"].encode(), Counter()
-        for i in range(len(raw) - 2):
-            if raw[i : i + 2] != b"  ":
-                x = 0
-                for c in raw[i : i + 3]:
-                    x = (x * 0x01000193 + c) & 0xFFFFFFFF
-                h[((x * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - 12)] += 1
-        v = np.zeros(4096)
-        for k, n in h.items():
-            v[k] = np.sqrt(n) * model.idf[k]
-        v = v / np.linalg.norm(v) @ model.basis
-        votes = sorted(((float(w @ v / np.linalg.norm(v)), y) for w, y, i in zip(model.vectors, model.labels, model.ids) if i != d["doc_id"]), reverse=True)[: model.params.k]
-        want = sum(s * y for s, y in votes if s > 0) / sum(s for s, _ in votes if s > 0)
-        assert got[d["doc_id"]]["score"] == pytest.approx(want, abs=0.08)  # float32 ties at the k-th place may differ by a vote
+    want = {d["doc_id"]: brute.quality_score(model, d["doc_id"], d["text"]) for d in sample.collect()}
+    near = [abs(got[i]["score"] - w) for i, (w, clear) in want.items() if clear]
+    assert len(near) > 30 and max(near) < 1e-3
+    assert max(abs(got[i]["score"] - w) for i, (w, _) in want.items()) < 0.08
 
 
 def test_quality_awkward(spark, documents):
@@ -67,20 +108,61 @@ def test_quality_awkward(spark, documents):
     assert quality.fit(docs, labels.limit(0)) is None and quality.keep_good(docs, None).count() == len(AWKWARD)
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.keep_good(docs, model).columns == docs.columns
+    with pytest.raises(TypeError):
+        quality.score(docs.withColumn("doc_id", F.lit("x")), model)
 
 
-def test_embedding_pairs(spark):
+def vectors_with_links(spark):
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((400, 16))
-    x[200:260] = x[:60] + rng.standard_normal((60, 16)) * 0.15
-    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (None, x[0].tolist()), (903, x[0].tolist()[:5]), (0, x[0].astype(np.float32).tolist())]
-    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"t": F.lit(1), "dim": F.lit(2), "i": F.lit(3)})
-    got = {(r["id_a"], r["id_b"]) for r in embdedup.pairs(v, embdedup.EmbeddingParams(tile=64)).collect()}
-    y = x.astype(np.float32).astype(float)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(y @ y.T >= 0.95, 1))
-    assert got == set(zip(a.tolist(), b.tolist())) and len(got) > 20
-    assert embdedup.pairs(v.limit(0)).count() == 0
+    x = rng.standard_normal((500, 16))
+    x[200:240] = x[:40] + rng.standard_normal((40, 16)) * 0.15
+    x[300:380] = x[0] + rng.standard_normal((80, 16)) * 0.2  # a hot group of near copies, chained
+    x[400:420] = x[1]  # exact copies
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (None, x[0].tolist()), (903, x[0].tolist()[:5]), (904, x[0].tolist()[:5]), (905, []), (0, x[0].tolist()), (7, [9.0] * 16)]
+    return x, spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+
+
+def test_embedding_classes(spark):
+    """Classes and link counts of small tiles equal those of all products in float64."""
+    x, v = vectors_with_links(spark)
+    odd = v.withColumns({c: F.lit(1) for c in ("t", "dim", "tile", "id", "v", "w")})
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in embdedup.classes(odd, embdedup.EmbeddingParams(tile=64)).collect()}
+    x[7] = min(x[7].tolist(), [9.0] * 16)  # of rows that share an id the lowest vector counts
+    want = brute.vector_classes(x, 0.95) | {i: (i, 0) for i in (900, 901, 902, 905)} | {903: (903, 1), 904: (903, 1)}
+    assert got == want and sum(c != i for i, (c, _) in want.items()) > 100
+    assert embdedup.classes(v.limit(0)).count() == 0 and embdedup.classes(v.where("vec_id >= 900 and vec_id < 903")).count() == 3
+
+
+def test_embedding_sql_on_vectors_with_links(spark, tmp_path):
+    """The SQL of the query, on a table that has links."""
+    _, v = vectors_with_links(spark)
+    v = v.where("vec_id < 900 and vec_id != 7")
+    v.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(llm_registry.OP3_SQL).df()
+    got = llm_registry.op3_embedding_int8(spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(want) and (want.n_links > 0).sum() > 100
+
+
+def test_tiles_apart_have_no_links():
+    """Tiles that angles to pivots keep apart really have no pair within the angle; and some are kept apart."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((4, 8))
+    tiles = [c + 0.05 * rng.standard_normal((50, 8)) for c in centres]
+    tiles = [t / np.linalg.norm(t, axis=1, keepdims=True) for t in tiles]
+    pivots = np.array([t[0] for t in tiles])
+    ends = [(np.arccos(np.clip(t @ pivots.T, -1, 1)).min(0), np.arccos(np.clip(t @ pivots.T, -1, 1)).max(0)) for t in tiles]
+    skipped = 0
+    for i in range(4):
+        for j in range(i):
+            if embdedup.apart(*ends[i], *ends[j], np.arccos(0.95)):
+                skipped += 1
+                assert (tiles[i] @ tiles[j].T < 0.95).all()
+    assert skipped
+    for n in (2, 3, 9):
+        assert [embdedup.pair_at(k, n) for k in range(n * (n - 1) // 2)] == [(i, j) for i in range(n) for j in range(i + 1, n)]
 
 
 def test_int8_bound_is_rigorous():
@@ -92,37 +174,116 @@ def test_int8_bound_is_rigorous():
     assert (np.abs(x @ x.T - approx) <= bound + 1e-12).all()
 
 
+LONG = [c * 5_000_000 for c in (" ", "\n", "x", "!")]
+
+
 def test_token_counts(spark):
-    enc = encoding(rank_path())
-    texts = ["word, " * 9000, "x" * 50_000, " " * 40_000, "größe \n\n  tab\t" * 4000, "a b" * 3, "日本語テキスト。" * 5000, "it's  123 " * 5000 + "y" * 20_000 + " end " * 4000]
+    path = rank_path()
+    enc, lengths = encoding(path), tokencount.token_lengths(path)
+    texts = ["word, " * 9000, "x" * 50_000, " " * 40_000, "größe \n\n  tab\t" * 4000, "a b" * 3, "日本語テキスト。" * 5000, "it's  123 " * 5000 + "y" * 20_000 + " end " * 4000, "a! \x1c\x1fb \x1c" * 3000]
     for chunk, overlap in ((1000, 32), (16_384, 256)):
         for t in texts:
-            tokens, _, _ = tokencount.encode_spliced(t, enc, tokencount.token_lengths(enc), chunk, overlap)
-            assert tokens == enc.encode_ordinary(t)
+            assert tokencount.encode_spliced(t, path, lengths, chunk, overlap)[0] == enc.encode_ordinary(t)
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choices(["a", " ", "\n", "!", "\x1c", "\x85", "é", "1", "'s", "\u3000"], k=rng.randint(1, 300)))
+        assert tokencount.encode_spliced(t, path, lengths, 40, 4)[0] == enc.encode_ordinary(t)
     got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.token_counts(docs_of(spark, AWKWARD)).collect())
     assert got == sorted((str(i), None if t is None else len(enc.encode_ordinary(t))) for i, t in AWKWARD)
+    assert tokencount.token_counts(docs_of(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_long_runs(spark):
+    """Five million equal characters through the operators that encode; the encoder alone would overflow its stack on white space."""
+    path = rank_path()
+    for t in ("a" + " " * 60_000 + "b", "\n" * 70_000, "x \n" + "\t" * 60_000 + " y" + "\u3000" * 55_000, " \n" * 40_000 + "z"):
+        assert encode(path, t) == encoding(path).encode_ordinary(t) == byte_bpe(path).encode_batch([t])[0].tolist()
+    docs = spark.createDataFrame(list(enumerate(LONG)), "doc_id bigint, text string")
+    want = {0: 5_000_000, 1: 2_500_000, 2: 625_000, 3: 625_000}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(docs).collect()} == want
+    packed = Counter()
+    for r in packing.pack(docs).collect():
+        packed[r["doc_id"]] += r["n_tokens"] - (r["piece"] == 0)
+    assert packed == want
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    out = chat.windows(turns).select("conv_id", "over_budget", F.length("text").alias("n"), "n_tokens").collect()
+    assert len(out) == 4 and all(r["over_budget"] and r["n"] > 5_000_000 and r["n_tokens"] >= want[r["conv_id"]] for r in out)
 
 
 def test_minhash_against_all_pairs(spark, documents):
+    """Groups are those of all pairs of signatures; all pairs of documents of a true Jaccard similarity well above the threshold are together."""
     p = minhash.MinHashParams()
     groups = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(documents).collect()}
-    sk = minhash.sketches(documents, p).where("sig is not null").orderBy("doc_id").collect()
-    ids, sig = [r["doc_id"] for r in sk], np.array([np.frombuffer(r["sig"], np.uint16) for r in sk])
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    pairs = [(ids[i], ids[i + 1 + j]) for i in range(len(ids)) for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= p.threshold)]
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
+    sig = {r["doc_id"]: np.frombuffer(r["sig"], np.uint16) for r in minhash.sketches(documents, p).where("sig is not null").collect()}
+    pairs, want = brute.signature_groups(sig, p.threshold)
     assert len(pairs) > 3
-    assert np.mean([groups[a] == groups[b] for a, b in pairs]) >= 0.95  # recall of the trees
-    for i in ids:
-        assert find(groups[i]) == find(i)  # nothing is joined that isn't similar
+    assert np.mean([groups[a] == groups[b] for a, b in pairs]) >= p.target_recall
+    for i in want:
+        assert want[groups[i]] == want[i]  # nothing is joined that isn't similar
+    true = brute.jaccard_pairs({r["doc_id"]: r["text"] for r in documents.where("text is not null").collect()}, p.shingle, 0.7)
+    assert len(true) > 3 and np.mean([groups[a] == groups[b] for a, b in true]) >= p.target_recall
+
+
+def near_copies(seed=3):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=80)
+
+    def changed(t, n):
+        t = list(t)
+        for _ in range(n):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        return " ".join(t)
+
+    out = [(i, changed(base, rng.choice([1, 2, 4, 8, 14]))) for i in range(150)] + [(i, " ".join(base)) for i in range(200, 260)]
+    for g in range(60):
+        b = rng.choices(words, k=60)
+        out += [(1000 + 10 * g + k, changed(b, rng.randint(0, 8))) for k in range(rng.choice([1, 1, 2, 3]))]
+    return [*out, (1000, "something else entirely " * 3), (1000, out[0][1])]  # an id with several texts joins their groups
+
+
+@pytest.mark.parametrize("params", [minhash.MinHashParams(), minhash.MinHashParams(leaf=16, sample=60, hot_share=0.34)], ids=["usual", "hot nodes in tiles"])
+def test_minhash_hot_group(spark, params):
+    """A hot group of near copies: no link is lost, whether its nodes are compared at once or in tiles."""
+    d = spark.createDataFrame(near_copies(), "doc_id bigint, text string")
+    sig: dict = {}
+    for r in minhash.sketches(d, params).collect():
+        sig.setdefault(r["doc_id"], []).append(np.frombuffer(r["sig"], np.uint16))
+    pairs, want = brute.signature_groups(sig, params.threshold)
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(d, params).collect()}
+    assert len(pairs) > 5000 and got == want
+
+
+def test_trees_follow_the_target():
+    """The share of simulated pairs at the threshold that meet in a node of the last level reaches the target."""
+    few, many = minhash.MinHashParams(target_recall=0.5), minhash.MinHashParams(target_recall=0.99)
+    assert few.trees < minhash.MinHashParams().trees < many.trees
+    p, rng = minhash.MinHashParams(), np.random.default_rng(4)
+    same = int(p.threshold * p.n_hashes)
+    met = 0
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, p.n_hashes).astype(np.uint16)
+        b = rng.integers(0, 1 << 16, p.n_hashes).astype(np.uint16)
+        b[:same] = a[:same]
+        keys = minhash._keys(np.array([a, b]), p)
+        for tree in range(p.trees):
+            nodes, owner = np.full(2, minhash.mix(np.array([tree + 1], np.uint64))[0]), np.arange(2)
+            for _ in range(p.max_depth):
+                nodes, owner = minhash._branch(nodes, owner, keys, p)
+            if set(nodes[owner == 0].tolist()) & set(nodes[owner == 1].tolist()):
+                met += 1
+                break
+    assert met / 200 >= p.target_recall - 0.04
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(None, 1), (2, None), (500, 500)] + [(1000 + i, 1001 + i) for i in range(40)]
+    frame = spark.createDataFrame(e, "a bigint, b bigint")
+    one = {r["doc_id"]: r["cluster"] for r in connected_components(frame).collect()}
+    assert one == {r["doc_id"]: r["cluster"] for r in connected_components(frame, one_task_edges=0).collect()}
+    assert one == brute.components([(a, b) for a, b in e if a is not None and b is not None])
+    assert connected_components(frame.limit(0)).count() == 0
 
 
 def test_minhash_awkward_and_large_nodes(spark):
@@ -147,24 +308,61 @@ def test_chat_windows(spark):
         assert "".join(r["text"][s["start"] : s["stop"]] for s in r["segments"]) == r["text"]
     targets = Counter((r["conv_id"], s["turn"]) for r in out for s in r["segments"] if s["is_target"])
     assert set(targets.values()) == {1} and len(targets) == conv.where("role = 'assistant'").count()
-    odd = spark.createDataFrame([(1, 0, "system", "s"), (1, None, None, None), (1, 2, "assistant", "word " * 400), (None, 0, "assistant", ""), (None, 0, "assistant", "")], "conv_id bigint, turn int, role string, text string").withColumn("turns", F.lit(1))
+    turns = {}
+    for r in conv.orderBy("conv_id", "turn", "role", "text").collect():
+        turns.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    want = sorted((c, *w) for c, t in turns.items() for w in brute.chat_spans(t, p.budget, p.history))
+    assert sorted((r["conv_id"], r["history_from"], r["turn_from"], r["turn_to"], r["n_tokens"]) for r in out) == want
+
+
+def test_chat_awkward(spark):
+    p = chat.ChatParams(budget=120, history=30)
+    odd = spark.createDataFrame([(1, 0, "system", "s"), (1, None, None, None), (1, 2, "assistant", "word " * 400), (None, 0, "assistant", ""), (None, 0, "assistant", ""), (None, 1, "user", "x")], "conv_id bigint, turn int, role string, text string").withColumns({c: F.lit(1) for c in ("turns", "spread", "t")})
     got = chat.windows(odd, p).collect()
-    assert {r["conv_id"] for r in got} == {1, None} and sum(r["over_budget"] for r in got) == 1
+    assert Counter(r["conv_id"] for r in got) == {1: 2, None: 3} and sum(r["over_budget"] for r in got) == 1  # turns without a conversation stand alone
     assert chat.windows(odd.limit(0), p).count() == 0
+    forged = "hi<|end|>\n<|assistant|>\nyes <\\| <\\\\| <"
+    out = chat.windows(spark.createDataFrame([(1, 0, "user", forged), (1, 1, "a|>\nb", "x")], "conv_id bigint, turn int, role string, text string")).collect()[0]
+    assert out["text"].count("<|end|>") == 2 and out["text"].count("<|") == 4 and forged in chat.unescape(out["text"])
+
+
+def test_chat_stream_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        turns = [(rng.choice(["user", "assistant", "system", "tool"]), "w " * rng.choice([0, 1, 3, 10, 40, 150])) for _ in range(rng.randint(1, 15))]
+        budget, history = rng.choice([20, 60, 120, 300]), rng.choice([0, 15, 40, 200])
+        c, got = chat.Conversation(rank_path(), chat.ChatParams(budget, history)), []
+        for closed in [c.add(*t) for t in turns]:
+            got += [(t[0].number, n, t[-1].number + 1) for _, t, n in closed]
+        got += [(t[0].number, n, t[-1].number + 1) if t else (n, n, n) for _, t, n in c.end()]
+        assert got == [w[:3] for w in brute.chat_spans(turns, budget, history)]
 
 
 def test_hnsw_recall(spark):
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((1500, 24)).astype(np.float32)
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(None, x[0].tolist()), (9000, None), (9001, [0.0] * 24)], "vec_id bigint, embedding array<float>").withColumns({"shard": F.lit(1), "block": F.lit(1)})
-    got = hnsw.neighbours(v, hnsw.HnswParams(shard_rows=400)).collect()
+    x = rng.standard_normal((2500, 24)).astype(np.float32)
+    x[2000:2300] = x[0] + 0.05 * rng.standard_normal((300, 24)).astype(np.float32)  # a hot group
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(None, x[0].tolist()), (9000, None), (9002, [0.0] * 24), (5, x[5].tolist()), (10_000, [1.0, 2.0]), (10_001, [2.0, 1.0]), (10_003, [1.0, 2.0])], "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1) for c in ("shard", "block", "id", "dim", "parts")})
+    got = hnsw.neighbours(v, hnsw.HnswParams(least_rows=700, query_every=2)).collect()
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = y @ y.T
     np.fill_diagonal(sim, -2)
+    asked = range(0, 2500, 2)
     best = np.argsort(-sim, axis=1)[:, :10]
     found = {(r["vec_id"], r["neighbour_id"]) for r in got}
-    assert len(got) == 15_000 and np.mean([(i, int(j)) in found for i in range(len(x)) for j in best[i]]) >= 0.9
-    assert hnsw.neighbours(v.limit(0)).count() == 0 and hnsw.neighbours(v.where("vec_id = 1")).count() == 0
+    assert len(got) == 12_500 + 2 and np.mean([(i, int(j)) in found for i in asked for j in best[i]]) >= 0.9
+    assert np.mean([(i, int(j)) in found for i in range(2000, 2300, 2) for j in best[i]]) >= 0.9  # and inside the group
+    assert [(r["rank"], r["neighbour_id"], r["cosine"]) for r in got if r["vec_id"] == 10_000] == [(1, 10_003, 1.0), (2, 10_001, 0.8)]  # each length by itself
+    assert hnsw.neighbours(v.limit(0)).count() == 0 and hnsw.neighbours(v.where("vec_id in (0, 9000)")).count() == 0
+
+
+def test_hnsw_ties(spark):
+    """Equal vectors are each other's neighbours, the lower ids first."""
+    v = spark.createDataFrame([(50 * i, [1.0, 0.0, 0.0]) for i in range(30)] + [(7, [0.0, 1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in hnsw.neighbours(v, hnsw.HnswParams(k=3, ef=64)).orderBy("vec_id", "rank").collect():
+        got.setdefault(r["vec_id"], []).append((r["neighbour_id"], r["cosine"]))
+    assert len(got) == 30 and all([n for n, _ in x] == sorted(n for n, _ in x) and {c for _, c in x} == {1.0} and i not in dict(x) for i, x in got.items())
 
 
 def test_byte_bpe(spark):
@@ -177,6 +375,10 @@ def test_byte_bpe(spark):
     assert sorted((str(r["doc_id"]), str(r["ids"])) for r in got) == want
     assert all(r["round_trip"] in (None, True) for r in got)
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in bpe.decode(out).collect()) == sorted((str(i), str(t)) for i, t in rows)
+    bad = spark.createDataFrame([(1, [-1, 64, None, 10**6, 65]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    token = byte_bpe(rank_path()).decode([64]), byte_bpe(rank_path()).decode([65])
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(bad).collect()} == {1: f"\ufffd{token[0]}\ufffd\ufffd{token[1]}", 2: None, 3: ""}
+    assert bpe.encode(docs.limit(0)).count() == 0
 
 
 def test_language_id(spark, documents):
@@ -191,6 +393,28 @@ def test_language_id(spark, documents):
     assert langid.fit(odd.limit(0)) is None and langid.keep_known(odd, None).count() == 0
 
 
+def test_language_against_brute_force(spark, documents):
+    model = langid.fit(documents)
+    some = documents.orderBy("doc_id").limit(60)
+    got = {r["doc_id"]: r for r in langid.identify(some, model).collect()}
+    for d in some.collect():
+        language, similarity, kept = brute.language(model, d["text"])
+        assert got[d["doc_id"]]["is_kept"] == kept and got[d["doc_id"]]["language"] == (language if kept else None)
+        assert similarity is None or got[d["doc_id"]]["similarity"] == pytest.approx(similarity, abs=1e-4)
+
+
+def test_word_hash_is_the_same_anywhere():
+    """A word of several slices hashes alike alone, after another document, and inside a longer one."""
+    word = "q" * 3_000_000
+    texts = ["a " + word, word, "b " * 400_000 + word + " c"]
+    out = []
+    for group in ([texts[0]], [texts[1]], [texts[2]], texts):
+        raw = [t.encode() for t in group]
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+        out += [set(h.tolist()) for _, h in word_hashes(np.frombuffer(b"".join(raw), np.uint8), offs)]
+    assert len(set.intersection(*out)) == 1 and [len(x) for x in out] == [2, 1, 3, 2, 1, 3]
+
+
 def test_packing(spark, documents):
     enc = encoding(rank_path())
     p = packing.PackingParams(tiers=(64, 256, 1024), step_tokens=4096)
@@ -207,22 +431,93 @@ def test_packing(spark, documents):
         assert x[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(x, x[1:])) and x[-1][0] + x[-1][1] <= tier and len({g for *_, g in x}) == 1
         groups[tier, x[0][2]] += sum(n for _, n, _ in x)
     assert sum(want.values()) / sum(t for t, _ in windows) > 0.9  # filled
-    odd = docs_of(spark, AWKWARD)
-    assert {r["doc_id"] for r in packing.pack(odd).collect()} == {1, None, 4, 5, 6} and packing.pack(odd.limit(0)).count() == 0
-
+    fills = Counter((tier, sum(n for _, n, _ in x)) for (tier, _), x in windows.items())
+    assert fills == brute.packed_fills([n for n in want.values()], p.tiers)
+    odd = docs_of(spark, [*AWKWARD, *[(None, "same")] * 300, *[(1, "same")] * 300])
+    got = packing.pack(odd).collect()
+    assert {r["doc_id"] for r in got} == {1, None, 4, 5, 6} and len(got) == len({(r["tier"], r["window_id"], r["window_offset"]) for r in got})
+    assert len(got) == 606 and packing.pack(odd.limit(0)).count() == 0
+
+
+def test_packing_plan_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        lengths = [rng.choice([rng.randint(1, 64), rng.randint(1, 16), 7, 33]) for _ in range(rng.randint(0, 200))]
+        plan = packing.make_plan(Counter(lengths), (16, 32, 64))
+        seen = Counter()
+        k = Counter()
+        n = np.array(lengths, np.int64)
+        nth = np.array([k.update([x]) or k[x] - 1 for x in lengths], np.int64)
+        tier, window, _, _ = packing.locate(plan, n, nth, 256)
+        for t, w, x in zip(tier, window, lengths):
+            seen[int(t), int(w)] += x
+        assert Counter((t, s) for (t, _), s in seen.items()) == brute.packed_fills(lengths, (16, 32, 64))
+
+
+def pipeline_tables(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("_id", "_y", "_text", "_gone", "count", "node", "cluster", "x")})
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_against_brute_force(spark, documents, tmp_path):
+    """What each stage keeps, and what comes out, by plain loops over the given documents and awkward rows."""
+    import corpus_pipeline as c
 
-def test_pipeline(spark, documents):
-    """Every stage keeps exactly the rows that its operator's own verdict keeps."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.orderBy("doc_id").limit(150).collect()]
+    rows += [(10_000 + i, t, None) for i, t in AWKWARD if i] + [(None, rows[0][1], "en"), (20_000, rows[0][1], "en"), (rows[1][0], rows[1][1], rows[1][2])]
+    pipeline_tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fit(docs, labels)
+    one = c.quality_stage(spark, docs, str(tmp_path)).cache()
+    keep = []
+    for d in docs.collect():
+        score, clear = brute.quality_score(model, d["doc_id"], d["text"]) if model else (None, True)
+        keep.append((d, score is None or score >= model.params.reject_below, clear and (score is None or abs(score - model.params.reject_below) > 1e-3)))
+    ids = Counter(r["doc_id"] for r in one.collect())
+    assert one.columns == docs.columns and all((ids[d["doc_id"]] > 0) == k for d, k, sure in keep if sure)
+    two = c.language_stage(spark, one, str(tmp_path)).cache()
+    speech = langid.fit(one)
+    want = Counter(d["doc_id"] for d in one.collect() if brute.language(speech, d["text"])[2])
+    assert two.columns == docs.columns and Counter(r["doc_id"] for r in two.collect()) == want
+    three = c.near_duplicate_stage(spark, two, str(tmp_path)).cache()
+    p = minhash.MinHashParams()
+    sig: dict = {}
+    for r in minhash.sketches(two, p).collect():
+        if r["sig"] is not None and r["doc_id"] is not None:
+            sig.setdefault(r["doc_id"], []).append(np.frombuffer(r["sig"], np.uint16))
+    group = brute.signature_groups(sig, p.threshold)[1]
+    kept = Counter({i: 1 for i, g in group.items() if g == i})
+    kept.update({None: want[None]} if want[None] else {})
+    assert three.columns == docs.columns and Counter(r["doc_id"] for r in three.collect()) == kept
+    out = Counter()
+    for r in c.run(spark, str(tmp_path)).collect():
+        out[r["doc_id"]] += r["n_tokens"]
+    tokens = Counter()
+    for d in three.collect():
+        tokens[d["doc_id"]] += len(encode(rank_path(), d["text"])) + 1
+    assert out == tokens
+
+
+def test_pipeline_empty_and_long(spark, documents, tmp_path):
     import corpus_pipeline as c
 
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = {r["doc_id"] for r in quality.score(documents, quality.fit(documents, labels)).where("is_kept").collect()}
-    one = c.quality_stage(spark, documents, SF).cache()
-    assert {r["doc_id"] for r in one.collect()} == good and one.columns == documents.columns
-    known = {r["doc_id"] for r in langid.identify(one, langid.fit(one)).where("is_kept").collect()}
-    two = c.language_stage(spark, one, SF).cache()
-    assert {r["doc_id"] for r in two.collect()} == known and two.columns == documents.columns
-    kept = {r["doc_id"] for r in minhash.near_duplicates(two).where("is_kept").collect()}
-    three = c.near_duplicate_stage(spark, two, SF)
-    assert {r["doc_id"] for r in three.collect()} == kept and three.columns == documents.columns
-    assert {r["doc_id"] for r in c.run(spark, SF).collect()} == {r["doc_id"] for r in three.where("text != ''").collect()}
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.orderBy("doc_id").limit(60).collect()]
+    pipeline_tables(spark, tmp_path / "long", rows + [(1_000_000 + i, t, "en") for i, t in enumerate(LONG)])
+    assert c.run(spark, str(tmp_path / "long")).count() > 0
+    pipeline_tables(spark, tmp_path / "empty", [])
+    assert c.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_the_shared_folder_is_the_named_one(spark, tmp_path):
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        df = written(spark.range(5).toDF("a"), "x")
+        assert df.count() == 5 and len(list((tmp_path / "shared").iterdir())) == 1
+        dispose(df)
+        assert not list((tmp_path / "shared").iterdir())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
