@@ -20,20 +20,28 @@ BROADCAST_KEYS = 1_000_000
 SLICE_BYTES = 1 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach. The cluster names it in ``spark.checkpoint.dir``;
-    only where that is unset and the master is local (tests) a temporary folder is chosen and set; a cluster without it is refused."""
+    only where that is unset and the master is local (tests) a temporary folder is chosen; a cluster without it is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
+        app = spark.sparkContext.applicationId
+        at = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     return at.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark understands it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return path if "://" in path else path.replace("file:/", "file:///", 1)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors,
     and gives the planner the true size of the result (so broadcasts rest on file sizes). The table
@@ -53,12 +61,12 @@ def again(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that is deleted when the driver's JVM ends."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    path = qualified(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(at.getParent())
     files.deleteOnExit(at)
-    path = files.makeQualified(at).toString()
-    return path if "://" in path else path.replace("file:/", "file:///", 1)
+    return path
 
 
 def dispose(*frames: DataFrame | None) -> None:
@@ -145,14 +153,6 @@ def filtered(df: DataFrame, keep) -> DataFrame:
     return map_arrow(df, run, df.schema)
 
 
-def is_file_uri(path: str) -> bool:
-    return path.startswith("file:") or "://" not in path
-
-
-def local_path(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
-
-
 def data_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BATCH_BYTES, key_join, map_arrow, shared_dir, written
+from loomgraph.llm.common import BATCH_BYTES, key_join, map_arrow, qualified, shared_dir, written
 
 MANIFEST = "record_id bigint, warc_type string, payload_digest string, refers_to bigint, payload_bytes bigint, archive string, record_offset bigint, record_length bigint"
 EPOCH = "1970-01-01T00:00:00Z"
@@ -184,7 +184,7 @@ def write_archives(records: DataFrame, folder: str | None = None, params: WarcPa
     """Write the deduplicated archives and return MANIFEST, one row for each record; it is written too, so reading it writes nothing again."""
     spark = records.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else "file://" + folder
+    folder = qualified(spark, folder)
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
     heads = resolve(records)

@@ -37,6 +37,8 @@ def quality_score(model, doc_id, text) -> tuple[float | None, bool]:
     if not v.any():
         return None, True
     v = v @ model.basis
+    if not v.any():
+        return None, True
     v /= np.linalg.norm(v)
     votes = sorted(((float(w @ v), y) for w, y, i in zip(model.vectors, model.labels, model.ids) if i != doc_id), reverse=True)
     k = model.params.k

@@ -4,6 +4,7 @@ import gzip
 import io
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import bpe, chat, embdedup, hnsw, langid, minhash, packing, quality, tokencount, warc
 from loomgraph.llm import registry as llm_registry
 from loomgraph.llm.bpe import byte_bpe
-from loomgraph.llm.common import dispose, written
+from loomgraph.llm.common import dispose, qualified, shared_dir, written
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.textvec import word_hashes
 from loomgraph.llm.tokens import encode, encoding, rank_path
@@ -511,13 +512,21 @@ def test_pipeline_empty_and_long(spark, documents, tmp_path):
     assert c.run(spark, str(tmp_path / "empty")).count() == 0
 
 
-def test_the_shared_folder_is_the_named_one(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        df = written(spark.range(5).toDF("a"), "x")
-        assert df.count() == 5 and len(list((tmp_path / "shared").iterdir())) == 1
-        dispose(df)
-        assert not list((tmp_path / "shared").iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+class _Cluster:
+    """A session on a cluster, as far as the shared folder is concerned."""
+
+    def __init__(self, at):
+        self.conf, self.sparkContext, self.master, self.at = self, self, "spark://host:7077", at
+
+    def get(self, key, default):
+        return self.at
+
+
+def test_the_shared_folder_is_the_named_one(spark):
+    assert shared_dir(_Cluster("hdfs://a/b/")) == "hdfs://a/b"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Cluster(None))
+    df = written(spark.range(5).toDF("a"), "x")
+    assert df.count() == 5 and df._written.startswith(qualified(spark, shared_dir(spark)))
+    dispose(df)
+    assert not Path(df._written.removeprefix("file://")).exists()
