@@ -1,4 +1,11 @@
-"""Corpus pipeline: quality, language, near-duplicates, packing. Each stage works on all that its predecessor kept."""
+"""Corpus pipeline: quality, language, near-duplicates, packing. Each stage works on all that its predecessor kept.
+
+All stages but the last return rows of ``documents`` as they are, with all their columns, whatever these are called. Defined results:
+a null or empty text passes the quality stage (it has no score) and goes at the language stage (it has no language); a null id is an ordinary document that has no near-duplicates; rows
+that share an id are judged one by one, but for near-duplicates they are one document, of which one row stays; repeated texts
+under other ids are near-duplicates; very long texts are read whole. Without labels of both classes the quality stage keeps all, and without any document
+of a known language the language stage keeps none. Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
