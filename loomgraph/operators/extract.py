@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from loomgraph import schema as S
 from loomgraph.functions.text import estimate
-from loomgraph.operators.shared import written
+from loomgraph.operators.shared import bounded_batches, written
 from loomgraph.packs.scan import Captures, Def, scan
 
+#: About what a batch of finished rows holds before it is sent on.
+OUT_BYTES = 4 << 20
+
 RECORD = "record string, path string, file_id bigint, ordinal int, parent int, kind string, name string, qname string, start_line int, end_line int, start_offset int, end_offset int, signature string, doc string, visibility string, is_exported boolean, body string, depth int, receiver string, symbol string, alias string"
 
 
@@ -70,13 +73,13 @@ def signature(text: str, lang: str) -> str | None:
 def _until(text: str, stop: str, opens: str) -> int:
     """Offset of ``stop`` outside of brackets, -1 without one."""
     depth, close = 0, {"(": ")", "[": "]", "{": "}"}
-    ends = {close[o] for o in opens}
-    for i, c in enumerate(text[:4000]):
-        if not depth and text.startswith(stop, i):
-            return i
-        if c in opens:
+    for m in re.finditer("|".join(re.escape(x) for x in (stop, *opens, *(close[o] for o in opens))), text):
+        if m[0] == stop:
+            if not depth:
+                return m.start()
+        elif m[0] in opens:
             depth += 1
-        elif c in ends:
+        else:
             depth = max(0, depth - 1)
     return -1
 
@@ -90,8 +93,8 @@ def doc_comment(source: str, d: Def, lang: str) -> str | None:
         at = _until(source[d.start : d.end], ":", "([{")
         m = re.match(r"\s*(?:#[^\n]*\s*)*[rRuUbB]*(\"\"\"|'''|\"|')(.*?)\1", source[d.start + at + 1 : d.end], re.S) if at >= 0 else None
         return re.sub(r"\s+", " ", m[2]).strip()[:500] or None if m else None
-    lines, above = [], source[: source.rfind("\n", 0, d.start) + 1].split("\n")[:-1]
-    for line in reversed(above[-60:]):
+    lines = []
+    for line in _lines_above(source, d.start):
         if re.match(r"^\s*(?:@\w|\[|#\[)", line) and not lines:
             continue  # decorators and attributes between comment and definition
         if not _COMMENT.match(line):
@@ -113,8 +116,23 @@ def doc_comment(source: str, d: Def, lang: str) -> str | None:
     return re.sub(r"\s+", " ", text).strip()[:500] or None
 
 
+def _lines_above(source: str, at: int):
+    """Lines before the one that ``at`` is in, the nearest first."""
+    end = source.rfind("\n", 0, at)
+    while end >= 0:
+        start = source.rfind("\n", 0, end) + 1
+        yield source[start:end]
+        end = start - 1
+
+
+def _head(source: str, d: Def) -> str:
+    """A definition up to its first bracket, however far that is."""
+    m = re.compile(r"[({]").search(source, d.start, d.end)
+    return source[d.start : m.start() if m else d.end]
+
+
 def visibility(source: str, d: Def, lang: str) -> str | None:
-    head = source[d.start : d.start + 120].split("(", 1)[0]
+    head = _head(source, d)
     mark = re.search(r"\b(private|protected|public|internal)\b", head)
     if lang in ("typescript", "tsx", "java", "csharp") and mark:
         return mark[1]
@@ -134,7 +152,7 @@ def visibility(source: str, d: Def, lang: str) -> str | None:
 
 
 def is_exported(source: str, d: Def, lang: str) -> bool:
-    head = source[d.start : d.start + 120]
+    head = source[d.start : d.end]
     if lang in ("typescript", "tsx", "javascript"):
         return bool(re.match(r"\s*export\b|\s*(?:module\.)?exports\.", head))
     if lang == "go":
@@ -142,7 +160,7 @@ def is_exported(source: str, d: Def, lang: str) -> bool:
     if lang == "rust":
         return bool(re.match(r"\s*pub\b", head))
     if lang in ("java", "csharp"):
-        return bool(re.search(r"\bpublic\b", head.split("(", 1)[0].split("{", 1)[0]))
+        return bool(re.search(r"\bpublic\b", _head(source, d)))
     if lang == "python":
         return not d.name.startswith("_")
     return True
@@ -207,12 +225,22 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     arrow = pa.schema([(c.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in RECORD.split(", ")])
 
     def run(it):
+        out: list[dict] = []
+        held = 0
         for b in it:
             for path, lang, text, fid in zip(*(b.column(c).to_pylist() for c in ("path", "lang", "text", "id"))):
-                if text is not None and lang is not None:
-                    yield pa.RecordBatch.from_pylist(records(path, lang, text, fid), schema=arrow)
-
-    rows = written(files.select("path", "lang", "text", "id").mapInArrow(run, RECORD).withColumn("tok", estimate(F.col("body"))).drop("body"), "extraction")
+                if text is None or lang is None:
+                    continue
+                found = records(path, lang, text, fid)
+                out += found
+                held += 200 * len(found) + sum(len(r["body"]) for r in found if r["record"] == "node")
+                if held > OUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    rows = written(bounded_batches(files.select("path", "lang", "text", "id")).mapInArrow(run, RECORD).withColumn("tok", estimate(F.col("body"))).drop("body"), "extraction")
     nid = node_id(F.col("path"), F.col("ordinal"))
     nodes = rows.where("record = 'node'").select(nid.alias("id"), "file_id", node_id(F.col("path"), F.col("parent")).alias("_p"), "parent", "kind", "name", "qname", "start_line", "end_line", "start_offset", "end_offset", "signature", "doc", "visibility", "is_exported", "tok", "ordinal", "depth")
     nodes = nodes.withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.col("_p"))).withColumn("rank", F.lit(0.0)).select([f.name for f in S.NODES])

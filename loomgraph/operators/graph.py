@@ -3,6 +3,8 @@ each level is written to the shared folder, which cuts lineage and survives lost
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ from loomgraph.operators.shared import written
 
 DIRECTIONS = ("callees", "callers", "explore", "impact", "path")
 
+#: Links (16 bytes each) up to which one task walks or ranks a graph; beyond that every level or iteration is a distributed step. The result is the same.
+ONE_TASK_LINKS = 2_000_000
+
+
+def check_direction(direction: str) -> str:
+    """The direction, or a ValueError that names those there are."""
+    if direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction {direction!r}: one of {', '.join(DIRECTIONS)}")
+    return direction
+
+
+def _few(links: DataFrame, most: int) -> bool:
+    return links.limit(most + 1).count() <= most
+
 
 def _sure(edges: DataFrame, min_confidence: str | None) -> DataFrame:
     return edges.where(F.col("confidence") == "EXACT") if min_confidence == "EXACT" else edges
@@ -57,6 +73,7 @@ def impact(edges: DataFrame, nodes: DataFrame, node_id: int, depth: int = 3, lim
     ``edge_confidence`` is that of the strongest edge that reached the node first. ``limit`` None keeps all; else the closest, then most important, stay
     and ``truncated`` tells that there were at least ``limit``."""
     back = _sure(edges, min_confidence).where("dst_id is not null").groupBy("src_id", "dst_id").agg(F.min("confidence").alias("edge_confidence"))
+    back = written(back.repartition("dst_id"), "impact-back")  # grouped once, not on every level
     start = nodes.where(F.col("id") == node_id).select("id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("edge_confidence"))
     seen = frontier = written(start, "impact")
     for d in range(1, depth + 1):
@@ -86,12 +103,14 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, src: int, dst: int, max_rounds: int = 8) -> list[int] | None:
+def shortest_path(edges: DataFrame, src: int, dst: int, max_rounds: int = 8, one_task_links: int = ONE_TASK_LINKS) -> list[int] | None:
     """Node ids of a shortest path along edges of all kinds, None without one; bidirectional, both sides one level a round; ties by the lowest ids."""
     if src == dst:
         return [src]
     spark = edges.sparkSession
     steps = written(edges.where("dst_id is not null").select("src_id", "dst_id").distinct(), "path")
+    if _few(steps, one_task_links):
+        return _path_at_once(steps, src, dst, max_rounds)
     side = "id bigint, prev bigint"
     sides = [(spark.createDataFrame([(src, None)], side), "src_id", "dst_id"), (spark.createDataFrame([(dst, None)], side), "dst_id", "src_id")]
     seen = [s[0] for s in sides]
@@ -111,6 +130,41 @@ def shortest_path(edges: DataFrame, src: int, dst: int, max_rounds: int = 8) ->
     return None
 
 
+def _path_at_once(steps: DataFrame, src: int, dst: int, max_rounds: int) -> list[int] | None:
+    """The same search in one task, over arrays of all links."""
+
+    def run(it):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
+        ends = [np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else ((), ()))]
+        came = [{src: None}, {dst: None}]
+        front = [np.array([src]), np.array([dst])]
+        for _ in range(max_rounds):
+            for i in (0, 1):
+                a, b = ends[i], ends[1 - i]
+                hit = np.isin(a, front[i])
+                order = np.lexsort((a[hit], b[hit]))  # of several ways to a node the one from the lowest id
+                found: dict = {}
+                for x, y in zip(a[hit][order].tolist(), b[hit][order].tolist()):
+                    if y not in came[i]:
+                        found.setdefault(y, x)
+                came[i] |= found
+                front[i] = np.array(sorted(found), np.int64)
+                meet = min((x for x in found if x in came[1 - i]), default=None)
+                if meet is not None:
+                    left, right = [meet], [meet]
+                    while (x := came[0][left[-1]]) is not None:
+                        left.append(x)
+                    while (x := came[1][right[-1]]) is not None:
+                        right.append(x)
+                    yield pa.RecordBatch.from_arrays([pa.array([left[::-1] + right[1:]], pa.list_(pa.int64()))], names=["path"])
+                    return
+                if not found:
+                    return
+
+    row = steps.select("src_id", "dst_id").coalesce(1).mapInArrow(run, "path array<bigint>").first()
+    return list(row[0]) if row else None
+
+
 def _trace(levels: list[DataFrame], node: int) -> list[int]:
     """From ``node`` back to the start of its side: one lookup for each level."""
     out = [node]
@@ -139,11 +193,12 @@ def upgrade_by_proof(edges: DataFrame, proofs: DataFrame, nodes: DataFrame) -> D
     return edges.join(inner, "id", "left").select(*[F.when(changed, F.col("proven")).otherwise(F.col(c)).alias(c) if c == "dst_id" else F.when(changed, "EXACT").otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in edges.columns])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, checkpoint_every: int = 5, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, rank): power iteration from 1/n, parallel edges counted, the mass of nodes without targets spread evenly; divided by the maximum at the end.
 
-    The links are written once, hash-partitioned by source; every iteration is one join on that key and one aggregate on the
-    target. Ranks are written every few iterations: the plan stays short, and lost executors cost at most that many."""
+    The links are written once; every iteration is one join by source and one aggregate on the
+    target. Ranks are written every few iterations: the plan stays short, and lost executors cost at most that many. A small graph is
+    ranked by one task, over arrays."""
     known = nodes.select("id")
     links = edges.where("dst_id is not null").join(known.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(known.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
     out = links.groupBy("src_id").agg(F.count(F.lit(1)).alias("out"))
@@ -152,6 +207,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))
+    if n <= one_task_links and _few(links, one_task_links):
+        return _pagerank_at_once(base, links, n, damping, iterations)
     rank = base.select("id", "dangling", F.lit(1.0 / n).alias("r"))
     for i in range(1, iterations + 1):
         given = links.join(rank.select(F.col("id").alias("src_id"), "r"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
@@ -161,3 +218,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
             rank = written(rank, "pagerank")
     top = rank.agg(F.max("r").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("id", (F.col("r") / F.col("top")).alias("rank"))
+
+
+def _pagerank_at_once(base: DataFrame, links: DataFrame, n: int, damping: float, iterations: int) -> DataFrame:
+    rows = base.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("share"), "dangling")
+    rows = rows.unionByName(links.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "share", F.lit(None).cast("boolean").alias("dangling")))
+
+    def run(it):
+        t = pa.Table.from_batches(list(it)).combine_chunks()
+        own, linked = t.filter(t.column("b").is_null()), t.filter(t.column("b").is_valid())  # apart first: 64-bit ids beside nulls would pass through floats
+        order = np.argsort(own.column("a").to_numpy())
+        ids = own.column("a").to_numpy()[order]
+        alone = own.column("dangling").to_numpy()[order]
+        src, dst = (np.searchsorted(ids, linked.column(c).to_numpy()) for c in ("a", "b"))
+        share = linked.column("share").to_numpy()
+        r = np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            r = (1 - damping) / n + damping * (np.bincount(dst, r[src] * share, n) + r[alone].sum() / n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r / r.max())], names=["id", "rank"])
+
+    return rows.coalesce(1).mapInArrow(run, "id bigint, rank double")

@@ -63,3 +63,36 @@ def usage_ledger(rows: DataFrame) -> DataFrame:
 def run_stats(status: DataFrame) -> DataFrame:
     """Files by status of a run."""
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+def run_breakdown(changed: DataFrame) -> DataFrame:
+    """Parsed files of a run by language and skipped ones by reason: (by, value, files)."""
+    lang = changed.where("skip_reason is null and lang is not null").groupBy(F.lit("language").alias("by"), F.col("lang").alias("value")).agg(F.count(F.lit(1)).alias("files"))
+    skip = changed.where("skip_reason is not null").groupBy(F.lit("skip").alias("by"), F.col("skip_reason").alias("value")).agg(F.count(F.lit(1)).alias("files"))
+    return lang.unionByName(skip)
+
+
+def subprojects(files: DataFrame) -> DataFrame:
+    """Distinct sub-projects, by name."""
+    return files.where("subproject is not null").select("subproject").distinct().orderBy("subproject")
+
+
+def top_languages(files: DataFrame, limit: int = 12) -> DataFrame:
+    """The languages with most parsed files."""
+    return files.where("lang is not null and parsed").groupBy("lang").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "lang").limit(limit)
+
+
+def symbol_uses(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+    """Symbols with a name of more than three characters by the number of edges that end at them."""
+    uses = edges.where("dst_id is not null").groupBy(F.col("dst_id").alias("id")).agg(F.count(F.lit(1)).alias("uses"))
+    return nodes.where((F.length("name") > 3) & (F.col("kind") != "module")).join(uses, "id").select("id", "name", "kind", "uses").orderBy(F.desc("uses"), "id").limit(limit)
+
+
+def write_ledger(calls: DataFrame, path: str) -> None:
+    """Append usage rows (tool, tokens_returned, tokens_source) to a ledger that ``usage_ledger`` sums up."""
+    calls.select("tool", F.col("tokens_returned").cast("bigint"), F.col("tokens_source").cast("bigint")).write.mode("append").parquet(path)
+
+
+def to_json(rows: DataFrame) -> DataFrame:
+    """(json): one object for each row, nulls included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -208,7 +208,7 @@ def resolve(files: DataFrame, nodes: DataFrame, imports: DataFrame, refs: DataFr
         F.when(guess.isNotNull(), hit(guess, none, inferred)),
         F.when(native, hit(none, native_id, exact)),
     )
-    r = written(r.withColumns({"t": target, "is_native": native & guess.isNull()}).select("id", "file_id", "src_id", "name", "kind", "line", "t", "is_native", "runtime"), "resolved")
+    r = written(r.withColumns({"t": target, "is_native": F.coalesce(target["ext_id"] == native_id, F.lit(False))}).select("id", "file_id", "src_id", "name", "kind", "line", "t", "is_native", "runtime"), "resolved")
     edges = r.where("t is not null and not (t.dst_id <=> src_id)").select("id", "src_id", "t.dst_id", "t.ext_id", "file_id", "kind", "t.confidence", "line")
     unresolved = r.where("t is null").select("id", "file_id", "line", "name", "kind", F.lit("no-match").alias("reason"))
     known = imp.where("external_id is not null").select(F.col("external_id").alias("id"), "ecosystem", "package", F.coalesce("symbol", F.lit("")).alias("symbol"), F.lit("import").alias("source"))
@@ -223,3 +223,7 @@ def stats(edges: DataFrame, unresolved: DataFrame) -> DataFrame:
     inside = F.col("dst_id").isNotNull()
     a = edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(inside & (F.col("confidence") == "EXACT")).alias("exact"), F.count_if(inside & (F.col("confidence") == "INFERRED")).alias("inferred"), F.count_if(~inside).alias("external"))
     return a.crossJoin(unresolved.agg(F.count(F.lit(1)).alias("unresolved")))
+
+
+def unresolved_by_reason(unresolved: DataFrame) -> DataFrame:
+    return unresolved.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")

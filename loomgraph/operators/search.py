@@ -11,6 +11,7 @@ import math
 import operator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import basename, identifier_parts, trigrams
@@ -83,13 +84,14 @@ def unparsed_files(files: DataFrame, q: str, limit: int = 30) -> DataFrame:
     return hit.select("id", F.lit("file").alias("kind"), basename(F.col("path")).alias("name"), F.col("path").alias("qname"), F.col("skip_reason").alias("signature"), F.lit(0.0).alias("rank"), "path", "lang")
 
 
-def search(nodes: DataFrame, files: DataFrame, query: str, kind: str | None = None, lang: str | None = None, path: str | None = None, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
-    """(HIT columns, score, why, final), best first: sum of the strategies' scores times (1 + 2 rank), ties by qualified name and id. An empty query finds nothing."""
+def search(nodes: DataFrame, files: DataFrame, query: str, kind: str | None = None, lang: str | None = None, path: str | None = None, limit: int = 20, index: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(HIT columns, score, why, final), best first: sum of the strategies' scores times (1 + 2 rank), ties by qualified name and id. An empty query finds nothing.
+    With ``terms`` (stored postings) the text strategy is the full-text one, else it looks for the terms as substrings."""
     q = query.strip()
     n = with_files(nodes, files)
     if not q:
         return n.select(*HIT, F.lit(0).alias("score"), F.array().cast("array<string>").alias("why"), F.lit(0.0).alias("final")).limit(0)
-    found = {"exact": exact(n, q), "prefix": prefix(n, q), "text": text(n, q), "fuzzy": fuzzy(n, index if index is not None else trigram_index(nodes), q), "file": unparsed_files(files, q)}
+    found = {"exact": exact(n, q), "prefix": prefix(n, q), "text": text(n, q) if terms is None else n.join(full_text(nodes, terms, q).select("id"), "id").select(HIT), "fuzzy": fuzzy(n, index if index is not None else trigram_index(nodes), q), "file": unparsed_files(files, q)}
     parts = [df.withColumns({"why": F.lit(k), "score": F.lit(SCORES[k]), "is_file": F.lit(k == "file")}) for k, df in found.items()]
     every = functools.reduce(DataFrame.unionByName, parts)
     # hits of one node are equal in all other columns
@@ -104,8 +106,6 @@ def search(nodes: DataFrame, files: DataFrame, query: str, kind: str | None = No
 
 def render_hits(hits: DataFrame) -> DataFrame:
     """(ord, line): numbered lines of search hits, a star for important ones, their signatures below."""
-    from pyspark.sql import Window as W
-
     n = hits.withColumn("n", F.row_number().over(W.orderBy(F.desc("final"), "qname", "id")))
     head = F.concat(F.lpad(F.col("n").cast("string"), 2, " "), F.when(F.col("rank") >= 0.5, "*").otherwise(" "), F.lit(" "), "qname", F.lit(" "), "kind", F.lit(" ["), F.array_join("why", "+"), F.lit("]"))
     sig = F.when(F.col("signature").isNotNull() & (F.col("signature") != F.col("name")), F.concat(F.lit("     "), "signature"))
@@ -122,6 +122,30 @@ def find_symbol(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return hits.join(F.broadcast(best), "tier").orderBy(F.desc("rank"), F.desc("tok"), "id").limit(limit)
 
 
+def ambiguous(nodes: DataFrame, files: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """(qname, kind, path, line): what else a symbol query matches in the same tier, after the best match."""
+    best = find_symbol(nodes, query, limit + 1)
+    n = best.withColumn("n", F.row_number().over(W.orderBy(F.desc("rank"), F.desc("tok"), "id"))).where("n > 1")  # at most limit + 1 rows
+    return n.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").orderBy("n").select("qname", "kind", "path", F.col("start_line").alias("line"))
+
+
+def miss_reason(files: DataFrame, query: str) -> DataFrame:
+    """One row (reason, path) for a query that finds no symbol: 'no-symbols' with the first file whose path holds it (indexed, but without symbols), else 'unknown'."""
+    hit = files.where(F.lower("path").contains(query.strip().lower())).agg(F.min("path").alias("path"))
+    return hit.select(F.when(F.col("path").isNotNull(), "no-symbols").otherwise("unknown").alias("reason"), "path")
+
+
+def nearest_level(files: DataFrame, path: str) -> DataFrame:
+    """One row (path): the deepest directory above a path that has files, '' where none has."""
+    parts = [p for p in path.split("/") if p]
+    ups = ["/".join(parts[:k]) for k in range(len(parts), 0, -1)]
+    if not ups:
+        return files.limit(0).select("path").unionByName(files.sparkSession.createDataFrame([("",)], "path string"))
+    depth = F.coalesce(*[F.when(F.startswith("path", F.lit(u + "/")), F.lit(len(ups) - i)) for i, u in enumerate(ups)], F.lit(0))
+    best = files.agg(F.coalesce(F.max(depth), F.lit(0)).alias("d"))
+    return best.select(F.array_join(F.slice(F.array(*[F.lit(p) for p in parts]), F.lit(1), F.col("d")), "/").alias("path"))
+
+
 def postings(nodes: DataFrame) -> DataFrame:
     """(term, node_id, field, tf): full-text postings of names, their parts, qualified names, signatures and docs."""
     fields = {"name": F.col("name"), "parts": identifier_parts(F.col("name")), "qname": F.col("qname"), "signature": F.col("signature"), "doc": F.col("doc")}
@@ -146,8 +170,9 @@ def full_text(nodes: DataFrame, index: DataFrame, q: str, limit: int = 60, k1: f
         return nodes.select("id", F.lit(0.0).alias("bm25")).limit(0)
     length = index.groupBy("node_id").agg(F.sum("tf").alias("len"))
     total = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg"))
-    match = functools.reduce(F.coalesce, [F.when(F.startswith("term", F.lit(w)), F.lit(w)) for w in words])
-    hit = index.withColumn("word", match).where("word is not null").groupBy("word", "node_id").agg(F.sum("tf").alias("tf"))
+    # a term counts for every word that it begins with
+    match = F.array_compact(F.array(*[F.when(F.startswith("term", F.lit(w)), F.lit(w)) for w in words]))
+    hit = index.withColumn("word", F.explode(match)).groupBy("word", "node_id").agg(F.sum("tf").alias("tf"))
     df = hit.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import symbol_text
@@ -41,3 +43,36 @@ def semantic_search(chunks: DataFrame, query: list[float], k: int = 10) -> DataF
     v = F.col("vector")
     den = F.sqrt(dot(v, v)) * F.lit(sum(x * x for x in query) ** 0.5)
     return chunks.select("node_id", F.when(den > 0, dot(v, q) / den).otherwise(F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
+
+
+def pack_vector(vector: Column) -> Column:
+    """Little-endian float32 bytes of a vector."""
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return pack(vector)
+
+
+def unpack_vector(raw: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def unpack(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return unpack(raw)
+
+
+def check_embedding_config(provider: str | None, model: str | None, dim: int | None, base_url: str | None = None) -> None:
+    """A ValueError that names every problem of an embedding configuration at once."""
+    wrong = []
+    if provider not in ("voyage", "openai", "local"):
+        wrong.append(f"provider {provider!r} is none of voyage, openai, local")
+    if not model:
+        wrong.append("no model is named")
+    if dim is not None and (not isinstance(dim, int) or dim <= 0):
+        wrong.append(f"dim {dim!r} is no positive number")
+    if provider == "local" and not base_url:
+        wrong.append("a local provider needs base_url")
+    if wrong:
+        raise ValueError("; ".join(wrong))

@@ -85,6 +85,61 @@ def match_brackets(text: str) -> dict[int, int]:
     return pairs
 
 
+_SCRIPT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`|/|[{}]", re.S)
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^\\`$])*", re.S)
+_REGEX = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: What a division can't follow: there a slash begins a regular expression.
+_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield))\s*$")
+
+
+def blank_script(text: str) -> str:
+    """As ``blank``, for JavaScript and TypeScript: regular expressions are blanked out too, what template literals
+    substitute stays, in round brackets."""
+    out: list[str] = []
+    stack: list[str] = []  # open braces: of code, or of a substitution
+    gap = lambda s: re.sub(r"[^\n]", " ", s)
+    at = 0
+
+    def template(i: int) -> int:
+        """Blank a template from ``i`` on, up to its end or its next substitution; where to go on."""
+        m = _TEMPLATE.match(text, i)
+        out.append(gap(m[0]))
+        i = m.end()
+        if text.startswith("${", i):
+            stack.append("$")
+            out.append(" (")
+            return i + 2
+        if i < len(text):
+            out.append("`")
+        return i + 1
+
+    while m := _SCRIPT.search(text, at):
+        out.append(text[at : m.start()])
+        s, at = m[0], m.end()
+        if s == "`":
+            out.append("`")
+            at = template(at)
+        elif s == "{":
+            stack.append("{")
+            out.append(s)
+        elif s == "}":
+            if stack and stack.pop() == "$":
+                out.append(")")
+                at = template(at)
+            else:
+                out.append(s)
+        elif s == "/":
+            before = "".join(out[-8:])[-64:]
+            r = _REGEX.match(text, m.start()) if _BEFORE_REGEX.search(before) else None
+            out.append(gap(r[0]) if r else s)
+            at = r.end() if r else at
+        elif s[0] == "/":
+            out.append(gap(s))
+        else:
+            out.append(gap(s[:-1]) + (s[-1] if len(s) > 1 and s[-1] == s[0] else " "))
+    return "".join(out) + text[at:]
+
+
 ID = r"[A-Za-z_$][\w$]*"
 _TS_MOD = r"(?:(?:export|default|declare|abstract|async|public|private|protected|static|readonly|override|accessor|get|set)\s+)*"
 _J_MOD = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|sealed|non-sealed|strictfp|transient|volatile)\s+)*"
@@ -107,8 +162,8 @@ _decl("javascript typescript tsx", [
     ("class", rf"(?<![\w$.])(?:export\s+)?(?:const|let|var)\s+(?P<name>{ID})\s*=\s*class\b", "any"),
     ("const", rf"^(?:export\s+)?(?:const|let)\s+(?P<name>{ID})\b", "top"),
     ("var", rf"^(?:export\s+)?var\s+(?P<name>{ID})\b", "top"),
-    ("method", rf"^[ \t]*{_TS_MOD}\*?\s*(?P<name>#?{ID})\s*(?:<[^>\n]*>)?\s*\((?=[^;{{}}]*\)\s*(?::[^{{;=]*)?[{{;])", "class"),
-    ("field", rf"^[ \t]*{_TS_MOD}(?P<name>#?{ID})\s*[?!]?\s*(?::[^=;\n(]*)?(?=[=;]|$)", "class"),
+    ("method", rf"(?:^|(?<=[{{;}}]))[ \t]*{_TS_MOD}\*?\s*(?P<name>#?{ID})\s*(?:<[^>\n]*>)?\s*\((?=[^;{{}}]*\)\s*(?::[^{{;=]*)?[{{;])", "class"),
+    ("field", rf"(?:^|(?<=[{{;}}]))[ \t]*{_TS_MOD}(?P<name>#?{ID})\s*[?!]?\s*(?::[^=;\n(}}]*)?(?=[=;}}]|$)", "class"),
     ("method", rf"(?<=[{{,])\s*(?P<name>{ID})\s*:\s*(?:async\s+)?(?:function\b|(?:\([^()]*\)|{ID})\s*=>)", "any"),
     ("function", rf"^(?:module\.)?exports\.(?P<name>{ID})\s*=(?!=)", "any"),
 ])
@@ -122,10 +177,11 @@ _decl("go", [
     ("method", r"^func\s*\([^)]*\)\s*(?P<name>\w+)\s*\(", "any"),
     ("class", r"(?:^type\s+|^\s+)(?P<name>[A-Za-z_]\w*)(?:\[[^\]]*\])?\s+struct\s*(?=\{)", "any"),
     ("interface", r"(?:^type\s+|^\s+)(?P<name>[A-Za-z_]\w*)(?:\[[^\]]*\])?\s+interface\s*(?=\{)", "any"),
-    ("type", r"^type\s+(?P<name>\w+)\s*=?\s*(?!struct\b|interface\b)[\w\[\]*.(]", "any"),
+    ("type", r"^type\s+(?P<name>\w+)\b\s*=?\s*(?!struct\b|interface\b)[\w\[\]*.(]", "any"),
     ("const", r"^const\s+(?P<name>\w+)", "any"),
     ("var", r"^var\s+(?P<name>\w+)", "any"),
-    ("field", r"^[ \t]+(?P<name>[A-Za-z_]\w*)\s+[\w\[\]*.]+[^\n(:=]*$", "class"),
+    ("field", r"(?:^[ \t]+|(?<=[{;])[ \t]*)(?P<name>[A-Za-z_]\w*)(?:\s*,\s*\w+)*[ \t]+[\w\[\]*.]+[^\n(:=;}]*(?=$|[;}])", "class"),
+    ("field", r"(?<=,)[ \t]*(?P<name>[A-Za-z_]\w*)(?=(?:\s*,\s*\w+)*[ \t]+[\w\[\]*.]+[^\n(:=;}]*(?:$|[;}]))", "class"),
 ])
 _decl("rust", [
     ("function", rf"(?<!\w){_R_VIS}(?:(?:const|async|unsafe|extern(?:\s*\"\s*\")?)\s+)*fn\s+(?P<name>\w+)", "any"),
@@ -138,34 +194,41 @@ _decl("rust", [
     ("var", rf"(?<!\w){_R_VIS}static\s+(?:mut\s+)?(?P<name>\w+)\s*:", "any"),
     ("class", r"^\s*(?:unsafe\s+)?impl(?:\s*<[^{]*?>)?\s+(?:[\w:<>, ']+\s+for\s+)?(?P<name>\w+)", "any"),
     ("function", r"(?<!\w)macro_rules!\s*(?P<name>\w+)", "any"),
-    ("field", rf"^[ \t]+{_R_VIS}(?P<name>[a-z_]\w*)\s*:(?!:)", "class"),
+    ("field", rf"(?:^[ \t]+|(?<=[{{,])[ \t]*){_R_VIS}(?P<name>[a-z_]\w*)\s*:(?!:)", "class"),
 ])
 _decl("java", [
     ("class", rf"(?<![\w.]){_J_MOD}(?:class|record)\s+(?P<name>{ID})", "any"),
     ("interface", rf"(?<![\w.]){_J_MOD}@?interface\s+(?P<name>{ID})", "any"),
     ("enum", rf"(?<![\w.]){_J_MOD}enum\s+(?P<name>{ID})", "any"),
-    ("method", rf"^[ \t]*{_J_MOD}(?:<[^>]*>\s*)?(?:[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])*\s+)?(?P<name>{ID})\s*\((?=[^;{{}}]*\)\s*(?:throws[^{{;]*)?[{{;])", "class"),
-    ("field", rf"^[ \t]*{_J_MOD}[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])*\s+(?P<name>{ID})\s*(?=[=;,])", "class"),
+    ("method", rf"(?:^|(?<=[{{;}}]))[ \t]*{_J_MOD}(?:<[^>]*>\s*)?(?:[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])*\s+)?(?P<name>{ID})\s*\((?=[^;{{}}]*\)\s*(?:throws[^{{;]*)?[{{;])", "class"),
+    ("field", rf"(?:^|(?<=[{{;}}]))[ \t]*{_J_MOD}[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])*\s+(?P<name>{ID})\s*(?=[=;,])", "class"),
 ])
 _decl("csharp", [
     ("module", r"^\s*namespace\s+(?P<name>[\w.]+)", "any"),
     ("class", rf"(?<![\w.]){_C_MOD}(?:class|struct|record(?:\s+(?:class|struct))?)\s+(?P<name>{ID})", "any"),
     ("interface", rf"(?<![\w.]){_C_MOD}interface\s+(?P<name>{ID})", "any"),
     ("enum", rf"(?<![\w.]){_C_MOD}enum\s+(?P<name>{ID})", "any"),
-    ("method", rf"^[ \t]*{_C_MOD}(?:[\w.]+(?:<[^;(){{}}]*>)?[\[\]?,]*\s+)?(?P<name>{ID})\s*(?:<[^>()]*>)?\s*\((?=[^;{{}}]*\)\s*(?:where[^{{;]*|:\s*(?:base|this)[^{{]*)?(?:[{{;]|=>))", "class"),
-    ("field", rf"^[ \t]*{_C_MOD}[\w.]+(?:<[^;(){{}}]*>)?[\[\]?,]*\s+(?P<name>{ID})\s*(?=\{{|=[^=>]|;|=>)", "class"),
+    ("method", rf"(?:^|(?<=[{{;}}]))[ \t]*{_C_MOD}(?:[\w.]+(?:<[^;(){{}}]*>)?[\[\]?,]*\s+)?(?P<name>{ID})\s*(?:<[^>()]*>)?\s*\((?=[^;{{}}]*\)\s*(?:where[^{{;]*|:\s*(?:base|this)[^{{]*)?(?:[{{;]|=>))", "class"),
+    ("field", rf"(?:^|(?<=[{{;}}]))[ \t]*{_C_MOD}[\w.]+(?:<[^;(){{}}]*>)?[\[\]?,]*\s+(?P<name>{ID})\s*(?=\{{|=[^=>]|;|=>)", "class"),
     ("const", rf"^[ \t]*(?P<name>{ID})\s*(?:=\s*[^,\n]+)?(?=,|\s*$|\s*\}})", "enum"),
 ])
 
-KEYWORDS = set("""if for while switch catch function return new typeof await yield super this else do try throw delete void in of instanceof case default import export from with
-foreach lock using fixed sizeof nameof when unless match loop move go defer select range func fn impl let const var struct enum trait type where as use mod pub static
-synchronized assert class interface extends implements package public private protected checked unchecked is not and or base get set init stackalloc""".split())
+#: Words before an opening bracket that are no call, and no name of a definition outside of a class body.
+KEYWORDS = {
+    "js": "if for while switch catch function return new typeof await yield super import delete void in of instanceof throw case else do with async",
+    "go": "if for switch select func return go defer range case interface struct map chan var const type import package else",
+    "rs": "if for while loop match return fn in as mut ref move where impl dyn let else unsafe use mod pub crate",
+    "c": "if for while switch catch return new super this synchronized assert throw else do try instanceof case",
+    "cs": "if for foreach while switch catch return new base this lock using fixed sizeof typeof nameof when checked unchecked default stackalloc is not and or in out throw await yield else do case where",
+}
+KEYWORDS = {k: frozenset(v.split()) for k, v in KEYWORDS.items()}
 CLASSLIKE = ("class", "interface", "enum")
 FAMILY = {"javascript": "js", "typescript": "js", "tsx": "js", "go": "go", "rust": "rs", "java": "c", "csharp": "cs"}
 
 
 def scan_braces(text: str, lang: str) -> Captures:
-    clean = blank(text, _TOKENS[FAMILY[lang]])
+    family = FAMILY[lang]
+    clean, words = blank_script(text) if family == "js" else blank(text, _TOKENS[family]), KEYWORDS[family]
     pairs = match_brackets(clean)
     bodies = {}  # opening brace of a body -> kind of its owner
     out = Captures()
@@ -204,8 +267,8 @@ def scan_braces(text: str, lang: str) -> Captures:
                 continue
             for m in rx.finditer(clean):
                 name, at = m["name"], m.start("name")
-                if name in KEYWORDS and where != "enum":
-                    continue
+                if name in words and where not in ("enum", "class"):
+                    continue  # directly in a class body every name is a member's
                 own = bodies.get(owner(at))
                 if where == "class" and own not in CLASSLIKE or where == "enum" and own != "enum" or where == "top" and owner(at) != -1:
                     continue
@@ -215,24 +278,22 @@ def scan_braces(text: str, lang: str) -> Captures:
                 if re.match(r"(?:return|throw|else|await|yield|new)\b", clean[start:]):
                     continue
                 end, brace = end_of(m.end())
-                if kind == "function" and lang == "rust" and own in ("class", "interface"):
-                    kind2 = "method"
-                else:
-                    kind2 = kind
-                if brace >= 0 and kind2 in (*CLASSLIKE, "module"):
-                    bodies[brace] = kind2
-                if lang == "csharp" and kind2 == "module" and brace < 0:
+                if brace >= 0 and kind in (*CLASSLIKE, "module"):
+                    bodies[brace] = kind
+                if lang == "csharp" and kind == "module" and brace < 0:
                     end = len(text)
-                out.defs.append(Def(kind2, name, start, end, start))
+                out.defs.append(Def(kind, name, start, end, start))
     named = {d.start for d in out.defs} | {m for d in out.defs for m in [clean.find(d.name, d.start, d.end)]}
     for m in re.finditer(rf"(?<![\w$])(?P<new>new\s+)?(?:(?P<recv>(?:[\w$]+|\)|\]|\?)(?:\s*(?:\.|::|\?\.|->)\s*[\w$]+)*)\s*(?:\.|::|\?\.)\s*)?(?P<name>#?{ID}!?)\s*(?:<[\w, .<>\[\]?]*>)?\s*(?=\()", clean):
         name, at = m["name"], m.start("name")
-        if name in KEYWORDS or at in named or (name.endswith("!") and lang != "rust"):
+        if name in words and not (m["recv"] and family == "js") or at in named or (name.endswith("!") and lang != "rust"):
             continue
+        if lang == "go" and bodies.get(owner(at)) == "interface":
+            continue  # a method that an interface asks for
         if m["new"]:
             out.refs.append(Ref("instantiates", name, at))
         else:
-            out.refs.append(Ref("call", name.rstrip("!"), at, m["recv"]))
+            out.refs.append(Ref("call", name.rstrip("!"), at, None if m["recv"] in words else m["recv"]))
     if lang == "rust":
         for m in re.finditer(r"(?<!\w)(?P<name>[a-z_]\w*)!\s*[\[{]", clean):
             out.refs.append(Ref("call", m["name"], m.start("name")))
@@ -260,11 +321,17 @@ def scan_braces(text: str, lang: str) -> Captures:
     types = {"typescript": rf":\s*(?P<name>[A-Z][\w$]*)", "tsx": rf":\s*(?P<name>[A-Z][\w$]*)", "java": rf"(?<![\w@.])(?P<name>[A-Z]\w*)(?=(?:<[^;(){{}}]*>)?(?:\[\])*\s+{ID}\s*[=;,)(])", "csharp": rf"(?<=[(,])\s*(?P<name>[A-Z]\w*)(?=(?:<[^;(){{}}]*>)?[\[\]?]*\s+{ID}\s*[,)=])", "go": r"(?<=[\w*\])])\s+\*?(?:\w+\.)?(?P<name>[A-Z]\w*)(?=\s*[,)\n`])", "rust": r"(?<![\w:])(?:\w+::)*(?P<name>[A-Z]\w*)(?=\s*[<,>;)=&\n{])"}.get(lang)
     if types:
         for m in re.finditer(types, clean):
+            if lang == "rust" and bodies.get(owner(m.start("name"))) == "enum":
+                continue  # a variant
             if m.start("name") not in named:
                 out.refs.append(Ref("type", m["name"], m.start("name")))
     out.imports = _IMPORTS[lang](text, clean)
     inside = [(i.at, text.find("\n", i.at)) for i in out.imports]
     if lang == "go":
+        fields = sorted((d for d in out.defs if d.kind == "field"), key=lambda d: d.start)
+        for a, b in zip(fields, fields[1:]):
+            if b.start < a.end:  # several names of one declaration share its range
+                b.start, b.end = a.start, a.end
         out.defs = [d for d in out.defs if not any(a <= d.start < z for a, z in inside)]
     return out
 

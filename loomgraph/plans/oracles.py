@@ -105,7 +105,7 @@ BM25 = f"""WITH {PART_FILES}, {NODES}, f AS (
   UNION ALL SELECT id, 'qname', qname FROM nodes UNION ALL SELECT id, 'signature', signature FROM nodes),
 t AS (SELECT term, node_id, field, count(*) AS tf FROM (SELECT node_id, field, unnest(regexp_split_to_array(lower(body), '[^a-z0-9_]+')) AS term FROM f) WHERE term <> '' GROUP BY ALL),
 len AS (SELECT node_id, sum(tf)::DOUBLE AS len FROM t GROUP BY 1), tot AS (SELECT count(*)::DOUBLE AS docs, avg(len) AS avg FROM len),
-hit AS (SELECT CASE WHEN starts_with(term, 'red') THEN 'red' WHEN starts_with(term, 'widget') THEN 'widget' END AS word, node_id, sum(tf)::DOUBLE AS tf FROM t WHERE starts_with(term, 'red') OR starts_with(term, 'widget') GROUP BY ALL),
+hit AS (SELECT word, node_id, sum(tf)::DOUBLE AS tf FROM t JOIN (VALUES ('re'), ('red'), ('widget')) AS w(word) ON starts_with(term, word) GROUP BY ALL),
 df AS (SELECT word, count(*)::DOUBLE AS df FROM hit GROUP BY 1)
 SELECT node_id AS id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS bm25
 FROM hit JOIN df USING (word) JOIN len USING (node_id), tot GROUP BY 1 ORDER BY sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) DESC, 1 LIMIT 60"""
@@ -144,7 +144,6 @@ def sql() -> dict[str, str]:
         "dir_rollup_deep": _rollup(2),
         "outline_budget": f"SELECT conv_id, ord, cost, sum(cost) OVER (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING) <= 400 AS kept FROM (SELECT conv_id, turn AS ord, {_estimate('line')} + 1 AS cost FROM (SELECT *, role || ': ' || text AS line FROM conversations))",
         "file_outline": f"WITH {NODES} SELECT file_id, ordinal AS ord, lpad(CAST(start_line AS VARCHAR), 4, ' ') || ' ' || {MARK} || ' ' || CASE WHEN visibility = 'private' THEN '-' ELSE '' END || signature AS line FROM nodes WHERE kind IN ('function', 'class', 'method')",
-        "read_lines": "SELECT doc_id, CAST(i AS BIGINT) AS line_no, string_split(text, chr(10))[i] AS line FROM documents, (SELECT unnest([2, 3, 4]) AS i) WHERE i <= len(string_split(text, chr(10)))",
         "search_exact": SYMBOL_SEARCH + _hits(EXACT, 50),
         "search_prefix": SYMBOL_SEARCH + _hits(PREFIX, 50),
         "search_text": SYMBOL_SEARCH + _hits(_any(["widget", "brand#2", "brand"]), 60),
@@ -155,22 +154,19 @@ def sql() -> dict[str, str]:
         "full_text_search": BM25,
         "first_definitions": f"WITH {NODES}, {FIRST} SELECT file_id, name, node_id FROM firsts",
         "best_definitions": f"WITH {PART_FILES}, {NODES}, {BEST} SELECT name, any_id, call_id FROM best",
-        "resolve_cascade": f"WITH {PART_FILES}, {NODES}, {BEST}, {FIRST}, r AS (SELECT p_name AS name, CASE WHEN l_linestatus = 'F' THEN 'call' ELSE 'type' END AS kind, (l_orderkey % 25) * 1000 + l_orderkey % 50 AS file_id FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT kind, CASE WHEN node_id IS NOT NULL THEN 'EXACT' WHEN g IS NOT NULL THEN 'INFERRED' ELSE 'NONE' END AS confidence, coalesce(node_id, g) AS dst_id, count(*) AS n FROM (SELECT r.kind, node_id, CASE WHEN r.kind = 'call' THEN call_id ELSE any_id END AS g FROM r LEFT JOIN firsts USING (file_id, name) LEFT JOIN best USING (name)) GROUP BY ALL",
-        "import_first_candidate": "SELECT a.doc_id AS src, min(b.doc_id) AS target FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 3 GROUP BY 1",
         "namespace_longest_prefix": "WITH d AS (SELECT DISTINCT replace(p_brand, '#', '') || '.' || split_part(p_name, ' ', 1) AS ns FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT replace(p_brand, '#', '') FROM part) SELECT p_partkey, arg_max(ns, length(ns)) AS ns FROM part JOIN d ON starts_with(replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '.') || '.', ns || '.') GROUP BY 1",
-        "enclosing_interval": f"WITH {NODES} SELECT s_suppkey, file_id, arg_min(id, row(end_line - start_line, id)) AS id FROM (SELECT s_suppkey, s_suppkey % 50 + 2 AS line FROM supplier) JOIN nodes ON start_line <= line AND end_line >= line GROUP BY 1, 2",
+        "html_links": f"""WITH l AS (SELECT DISTINCT page_id, 'pages/' || page_id || '.html' AS path, unnest(regexp_extract_all(html, '<(?:a|link|script|img|iframe)(?: [^>]*)? (?:href|src)="([^"]+)"', 1)) AS spec FROM pages)
+SELECT path, {_fold("path", "spec")} AS target, count(*) AS links FROM l GROUP BY ALL""",
         "degree": f"WITH {NODES}, {EDGES}, p AS (SELECT DISTINCT src_id, dst_id FROM edges WHERE dst_id IS NOT NULL) SELECT id, coalesce(a.n, 0) AS callers, coalesce(b.n, 0) AS callees FROM nodes LEFT JOIN (SELECT dst_id, count(*) AS n FROM p GROUP BY 1) a ON a.dst_id = id LEFT JOIN (SELECT src_id, count(*) AS n FROM p GROUP BY 1) b ON b.src_id = id",
         "callers_weakest_link": f"WITH {EDGES} SELECT dst_id, src_id, min(line) AS line, count(*) AS sites, max(confidence) AS confidence, min(kind) AS kind FROM edges WHERE dst_id IS NOT NULL GROUP BY 1, 2",
         "callers_exact": f"WITH {EDGES} SELECT dst_id, src_id, min(line) AS line, count(*) AS sites, max(confidence) AS confidence, min(kind) AS kind FROM edges WHERE dst_id IS NOT NULL AND confidence = 'EXACT' GROUP BY 1, 2",
         "callers_of_node": f"WITH {PART_FILES}, {NODES}, {WITH_FILES}, {EDGES} SELECT n.id, qname, path, min(e.line) AS line, count(*) AS sites, max(confidence) AS confidence, min(e.kind) AS kind FROM edges e JOIN n ON n.id = e.src_id WHERE e.dst_id = 42 GROUP BY n.id, qname, path, n.rank ORDER BY n.rank DESC, path, n.id LIMIT 50",
         "callees_of_node": f"WITH {PART_FILES}, {NODES}, {WITH_FILES}, {EDGES} (SELECT DISTINCT false AS is_external, n.id, qname AS name, path AS \"where\", e.line, confidence, e.kind FROM edges e JOIN n ON n.id = e.dst_id WHERE e.src_id = 42 ORDER BY e.line, n.id, e.kind LIMIT 50) UNION ALL (SELECT DISTINCT true, s_suppkey, s_name, 'suppliers', line, confidence, kind FROM edges JOIN supplier ON s_suppkey = ext_id WHERE src_id = 42 ORDER BY line, s_suppkey, kind LIMIT 50)",
-        "importers": f"WITH {PLACES} SELECT dst_id, count(DISTINCT src_id) AS importers FROM places GROUP BY 1",
         "pagerank": _pagerank(),
         "impact_bfs": f"WITH {PLACES}, {_reach('SELECT 4::BIGINT AS start_id, 4::BIGINT AS id, 0 AS distance', 3)} SELECT id, CAST(distance AS BIGINT) AS distance, edge_confidence FROM (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3)",
         "reachable_all_regions": f"WITH {PLACES}, {_reach('SELECT DISTINCT dst_id AS start_id, dst_id AS id, 0 AS distance FROM places WHERE dst_id % 10 = 4', 3)} SELECT start_id, CAST(distance AS BIGINT) AS distance, count(*) AS n FROM (SELECT start_id, id, distance FROM q0 UNION ALL SELECT start_id, id, distance FROM q1 UNION ALL SELECT start_id, id, distance FROM q2 UNION ALL SELECT start_id, id, distance FROM q3) GROUP BY 1, 2",
         "shortest_path_length": f"WITH RECURSIVE {EDGES}, p AS (SELECT DISTINCT src_id, dst_id FROM edges WHERE dst_id IS NOT NULL), w AS (SELECT 1::BIGINT AS id, 0 AS hops UNION SELECT dst_id, hops + 1 FROM w JOIN p ON src_id = id WHERE hops < 5) SELECT CAST(min(hops) AS BIGINT) AS hops FROM w WHERE id = 2",
         "level_breaks": f"WITH {PLACES}, {_reach('SELECT 14::BIGINT AS start_id, 14::BIGINT AS id, 0 AS distance', 2)} SELECT CAST(distance AS BIGINT) AS distance, arg_min(id, row(-(id % 97) / 97.0::DOUBLE, id)) AS id FROM (SELECT * FROM q1 UNION ALL SELECT * FROM q2) GROUP BY 1",
-        "cosine_topk": "SELECT vec_id, round(list_cosine_similarity(e, q), 6) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0) ORDER BY list_cosine_similarity(e, q) DESC, vec_id LIMIT 10",
         "embed_queue": f"WITH {NODES} SELECT id, substr(kind || ' — ' || qname || ' — ' || signature, 1, 1000) AS text FROM nodes WHERE kind NOT IN ('module', 'var', 'const') AND id NOT IN (SELECT doc_id FROM labels)",
         "index_stats": f"WITH {FILES}, {EDGES} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE skip_reason IS NULL) AS parsed, (SELECT CAST(sum(loc) AS BIGINT) FROM files) AS loc, (SELECT CAST(sum(tok) AS BIGINT) FROM files) AS tok, (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE confidence = 'EXACT') AS exact, (SELECT count(*) FROM orders) AS imports, (SELECT count(*) FROM supplier) AS externals, (SELECT count(*) FROM customer) AS unresolved",
         "health_by_language": f"WITH {FILES}, q AS (SELECT lang, count(*) FILTER (quality = 1) AS exact, count(*) FILTER (quality <> 1 OR quality IS NULL) AS inferred, count(*) FILTER (toxic = 1) AS unresolved FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT f.lang, files, parsed, coalesce(exact, 0) AS exact, coalesce(inferred, 0) AS inferred, coalesce(unresolved, 0) AS unresolved, CAST(floor(exact * 100.0::DOUBLE / (exact + inferred + unresolved) + 0.5::DOUBLE) AS BIGINT) AS quality FROM (SELECT lang, count(*) AS files, count(*) FILTER (skip_reason IS NULL) AS parsed FROM files GROUP BY 1) f LEFT JOIN q USING (lang)",

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.functions.vector import cosine
 from loomgraph.operators import extract, graph, health, resolve, retrieve, search, similar
 from loomgraph.packs.languages import detect_language
-from loomgraph.plans import oracles
+from loomgraph.plans import more, oracles
 from loomgraph.plans import views as V
 from loomgraph.sources import walk
 from loomgraph.streaming import incremental
@@ -128,13 +127,6 @@ def file_outline(s, d):
     return retrieve.outline_lines(V.part_nodes(s, d), ["function", "class", "method"])
 
 
-@query
-def read_lines(s, d):
-    """Lines 2 to 4 of every document."""
-    x = V.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return x.where("n between 1 and 3").select("doc_id", (F.col("n") + 1).cast("bigint").alias("line_no"), "line")
-
-
 # -- search
 
 
@@ -178,7 +170,7 @@ def find_symbol(s, d):
 @query
 def full_text_search(s, d):
     n = V.part_nodes(s, d)
-    return search.full_text(n, search.postings(n), "red widget").select("id", F.round("bm25", 6).alias("bm25"))
+    return search.full_text(n, search.postings(n), "re red widget").select("id", F.round("bm25", 6).alias("bm25"))
 
 
 # -- symbol tables and resolution
@@ -194,31 +186,6 @@ def best_definitions(s, d):
     return resolve.best_definitions(V.part_nodes(s, d), V.part_files(s, d))
 
 
-def _part_refs(s, d) -> DataFrame:
-    """Every order line refers, from its order's file, to its part by name."""
-    li = V.table(s, d, "lineitem").join(V.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("src"), F.col("p_name").alias("name"), F.when(F.col("l_linestatus") == "F", "call").otherwise("type").alias("kind"), (F.pmod("l_orderkey", F.lit(25)) * 1000 + F.pmod("l_orderkey", F.lit(50))).alias("file_id"))
-
-
-@query
-def resolve_cascade(s, d):
-    """Same file first (EXACT), else the best definition anywhere (INFERRED): outcomes by kind."""
-    n = V.part_nodes(s, d)
-    r = _part_refs(s, d).join(resolve.first_definitions(n), ["file_id", "name"], "left").join(resolve.best_definitions(n, V.part_files(s, d)), "name", "left")
-    guess = F.when(F.col("kind") == "call", F.col("call_id")).otherwise(F.col("any_id"))
-    r = r.withColumn("dst_id", F.coalesce("node_id", guess)).withColumn("confidence", F.when(F.col("node_id").isNotNull(), "EXACT").when(guess.isNotNull(), "INFERRED").otherwise("NONE"))
-    return r.groupBy("kind", "confidence", "dst_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query
-def import_first_candidate(s, d):
-    """A document imports the next one of its directory, by the first ending that exists."""
-    f = V.document_files(s, d).select("id", "path", "lang", "subproject")
-    cand = F.array(*[F.concat_ws("/", "subproject", "lang", F.concat((F.col("id") + k).cast("string"), F.lit(e))) for k in (1, 2, 3) for e in (".md", ".txt")])
-    want = f.select(F.col("id").alias("src"), F.posexplode(cand).alias("ord", "path"))
-    return want.join(f.select("path", F.col("id").alias("target")), "path").groupBy("src").agg(F.min_by("target", "ord").alias("target"))
-
-
 @query
 def namespace_longest_prefix(s, d):
     """Each part's dotted name resolved to the longest declared prefix."""
@@ -229,16 +196,6 @@ def namespace_longest_prefix(s, d):
     return want.join(declared, "ns").groupBy("p_partkey").agg(F.max_by("ns", F.length("ns")).alias("ns"))
 
 
-@query
-def enclosing_interval(s, d):
-    """The innermost symbol of a file around each line that a page's id picks."""
-    n = V.part_nodes(s, d).select("id", "file_id", "start_line", "end_line")
-    at = V.table(s, d, "supplier").select("s_suppkey", (F.pmod("s_suppkey", F.lit(50)) + 2).alias("line"))
-    hit = at.crossJoin(F.broadcast(V.part_files(s, d).select(F.col("id").alias("file_id")))).where(F.pmod("file_id", F.lit(1000)).between(F.col("line") - 7, F.col("line")))
-    j = hit.join(n, "file_id").where((F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line")))
-    return j.groupBy("s_suppkey", "file_id").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), F.col("id"))).alias("id"))
-
-
 # -- graph
 
 
@@ -270,13 +227,6 @@ def callees_of_node(s, d):
     return graph.callees(V.part_edges(s, d), V.part_nodes(s, d), V.part_files(s, d), ext, 42)
 
 
-@query
-def importers(s, d):
-    """Distinct (order, customer) pairs of all nations: who imports what."""
-    e = V.place_edges(s, d)
-    return e.select("src_id", "dst_id").distinct().groupBy("dst_id").agg(F.count(F.lit(1)).alias("importers"))
-
-
 @query
 def pagerank(s, d):
     r = graph.pagerank(V.part_nodes(s, d), V.part_edges(s, d))
@@ -312,13 +262,6 @@ def level_breaks(s, d):
 # -- embeddings
 
 
-@query
-def cosine_topk(s, d):
-    e = V.table(s, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
-
-
 @query
 def embed_queue(s, d):
     chunks = V.table(s, d, "labels").select(F.col("doc_id").alias("node_id"))
@@ -417,7 +360,7 @@ def html_links(s, d):
     p = V.page_files(s, d)
     x = extract.extract(p)
     i = x["imports"].join(p.select(F.col("id").alias("file_id"), "path"), "file_id")
-    return i.select("path", "spec", T.normalize_relative(F.col("path"), F.col("spec")).alias("target")).groupBy("path").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("target").alias("targets"))
+    return i.select("path", "spec", T.normalize_relative(F.col("path"), F.col("spec")).alias("target")).groupBy("path", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
 @query
@@ -427,10 +370,10 @@ def json_keys(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.sql().items() if k in _QUERIES}
+    return {k: v for k, v in oracles.sql().items() if k in _QUERIES} | more.sql()
 
 

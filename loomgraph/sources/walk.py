@@ -1,10 +1,10 @@
 """Repository source: listing, ignore rules, stubs for what isn't parsed, change detection before contents are read.
 
-The listing comes from Spark's binaryFile reader, whose content column is only read where it is selected. Ignore files are small and
-are applied by one Arrow function over path batches; everything else is Column expressions."""
+One pass lists the tree, reads ignore files where it meets them and never enters ignored directories; everything else is Column expressions."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import content_hash, estimate, extension, is_binary, line_count, text_skip_reason
+from loomgraph.operators.shared import written
 from loomgraph.packs.languages import WITH_SYMBOLS, detect_language
 
 IMAGES = ("avif", "bmp", "cur", "gif", "heic", "heif", "icns", "ico", "jpeg", "jpg", "png", "tif", "tiff", "webp")
@@ -77,7 +78,8 @@ class IgnoreRules:
         self.frames = [(d, [r for x in lines if (r := compile_rule(x))]) for d, lines in sorted(frames.items(), key=lambda f: (f[0].count("/") + bool(f[0]), f[0]))]
         self.known: dict[str, bool] = {}
 
-    def _one(self, path: str, is_dir: bool) -> bool:
+    def hides(self, path: str, is_dir: bool) -> bool:
+        """Whether the rules hide an entry of a directory that isn't ignored itself."""
         out = False
         for base, rules in self.frames:
             if base and not path.startswith(base + "/"):
@@ -94,10 +96,10 @@ class IgnoreRules:
         for i in range(1, len(parts)):
             d = "/".join(parts[:i])
             if d not in self.known:
-                self.known[d] = self._one(d, True)
+                self.known[d] = self.hides(d, True)
             if self.known[d]:
                 return True
-        return self._one(path, False)
+        return self.hides(path, False)
 
 
 def global_rules(root: str) -> list[str]:
@@ -116,45 +118,75 @@ def global_rules(root: str) -> list[str]:
     return out
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size) of every file, paths relative with forward slashes; contents are not read. Symbolic links and unreadable files are left out.
+FOUND = "kind string, path string, mtime bigint, size bigint"
 
-    Spark's own file index hides names that begin with a dot or an underscore, which repositories are full of. So the driver lists two
-    levels, and tasks walk the directories below; ``root`` is on a file system that all executors share."""
+
+def listing(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """FOUND: a 'file' row for every file that isn't ignored, and a 'marker' row for every directory with a ``.git`` of its own. Paths are relative with forward slashes; contents
+    are not read. Symbolic links and unreadable files are left out. ``rules`` are the root's; None asks no ignore rules at all.
+
+    One pass: ignore files are read where they are met, and ignored directories are never entered. Spark's own file index hides names that begin with a
+    dot or an underscore, which repositories are full of. So the driver lists two levels, and tasks walk the directories below; ``root`` is on a file system that all executors share."""
     base = os.path.realpath(root)
-    top, deep = _scan(base, "")
-    below = []
-    for d in deep:
-        files, dirs = _scan(base, d)
-        top += files
-        below += dirs
+    frames = {"": rules} if rules is not None else None
+    top, todo = [], [("", frames)]
+    for _ in range(2):
+        below = []
+        for d, f in todo:
+            rows, dirs = _visit(base, d, f)
+            top += rows
+            below += dirs
+        todo = below
 
     def run(it):
         for b in it:
-            for d in b.column("dir").to_pylist():
-                todo, rows = [d], []
+            for d, f in zip(b.column("dir").to_pylist(), b.column("frames").to_pylist()):
+                todo, rows = [(d, json.loads(f))], []
                 while todo:
-                    files, dirs = _scan(base, todo.pop())
-                    rows += files
+                    more, dirs = _visit(base, *todo.pop())
+                    rows += more
                     todo += dirs
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["path", "mtime", "size"])
+                    if len(rows) > 10_000 or rows and not todo:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "path", "mtime", "size"])
+                        rows = []
 
-    schema = "path string, mtime bigint, size bigint"
-    here = spark.createDataFrame(top, schema)
-    if not below:
+    here = spark.createDataFrame(top, FOUND)
+    if not todo:
         return here
-    return here.unionByName(spark.createDataFrame([(d,) for d in below], "dir string").repartition(min(len(below), 512), "dir").mapInArrow(run, schema))
+    starts = spark.createDataFrame([(d, json.dumps(f)) for d, f in todo], "dir string, frames string")
+    return here.unionByName(starts.repartition(min(len(todo), 512), "dir").mapInArrow(run, FOUND))
+
+
+def _visit(base: str, directory: str, frames: dict[str, list[str]] | None) -> tuple[list[tuple], list[tuple[str, dict | None]]]:
+    """FOUND rows of one directory, and its directories that aren't ignored with the rules that hold in them."""
+    files, dirs, marked = _scan(base, directory)
+    rows: list[tuple] = [("marker", directory, None, None)] if marked and directory else []
+    if frames is not None:
+        own = []
+        for name in (".gitignore", TOOL_IGNORE):
+            try:
+                if any(p.rsplit("/", 1)[-1] == name for p, _, _ in files):
+                    with open(os.path.join(base, directory, name), encoding="utf-8", errors="replace") as f:
+                        own += f.read().splitlines()
+            except OSError:
+                pass
+        if own:
+            frames = {**frames, directory: [*frames.get(directory, []), *own]}
+        rules = IgnoreRules(frames)
+        files = [f for f in files if not rules.hides(f[0], False)]
+        dirs = [d for d in dirs if not rules.hides(d, True)]
+    return rows + [("file", *f) for f in files], [(d, frames) for d in dirs]
 
 
-def _scan(base: str, directory: str) -> tuple[list[tuple[str, int, int]], list[str]]:
-    """Files (path, mtime, size) and directories of one directory, relative to ``base``; the repository's own .git is left out."""
-    files, dirs = [], []
+def _scan(base: str, directory: str) -> tuple[list[tuple[str, int, int]], list[str], bool]:
+    """Files (path, mtime, size) and directories of one directory, relative to ``base``, and whether it has a .git, which is left out."""
+    files, dirs, marked = [], [], False
     try:
         entries = sorted(os.scandir(os.path.join(base, directory)), key=lambda e: e.name)
     except OSError:
-        return files, dirs
+        return files, dirs, marked
     for e in entries:
+        marked = marked or e.name == ".git"
         rel = f"{directory}/{e.name}" if directory else e.name
         try:
             if e.is_symlink():
@@ -162,12 +194,12 @@ def _scan(base: str, directory: str) -> tuple[list[tuple[str, int, int]], list[s
             if e.is_dir():
                 if e.name != ".git":
                     dirs.append(rel)
-            elif e.is_file():
+            elif e.is_file() and e.name != ".git":
                 st = e.stat()
                 files.append((rel, st.st_mtime_ns // 1_000_000, st.st_size))
         except OSError:
             continue
-    return files, dirs
+    return files, dirs, marked
 
 
 def read_contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
@@ -186,28 +218,6 @@ def read_contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame
     return paths.select("path").distinct().mapInArrow(run, "path string, content binary")
 
 
-def not_ignored(files: DataFrame, frames: dict[str, list[str]]) -> DataFrame:
-    """Rows whose path no rule ignores; frames maps a directory ('' is the root) to its rules."""
-
-    def run(it):
-        rules = IgnoreRules(frames)
-        for b in it:
-            yield b.filter(pa.array([p is not None and not rules.ignores(p) for p in b.column("path").to_pylist()], pa.bool_()))
-
-    return files.mapInArrow(run, files.schema)
-
-
-def ignore_frames(spark: SparkSession, root: str, config: WalkConfig = WalkConfig()) -> dict[str, list[str]]:
-    """Rules by directory: configured and global ones at the root, then each ignore file's. Ignore files are few and small: they come to the driver."""
-    base = os.path.realpath(root)
-    found = listing(spark, root).where(F.substring_index("path", "/", -1).isin(".gitignore", TOOL_IGNORE))
-    rows = read_contents(spark, root, found).select("path", F.decode("content", "utf-8").alias("t")).collect()
-    out: dict[str, list[str]] = {"": [*config.ignore, *global_rules(base)]}
-    for r in sorted(rows, key=lambda r: r["path"]):
-        out.setdefault(os.path.dirname(r["path"]), []).extend(r["t"].splitlines())
-    return out
-
-
 def subproject_of(files: DataFrame, markers: DataFrame) -> DataFrame:
     """``files`` with ``subproject``: the nearest directory above that ``markers`` (dir) lists, the root aside. Ancestors are exploded, so this is an equi join."""
     dirs = F.split("path", "/")
@@ -263,12 +273,9 @@ def file_id(path: Column) -> Column:
 
 def walk(spark: SparkSession, root: str, config: WalkConfig = WalkConfig()) -> DataFrame:
     """(path, mtime, size, subproject) of every file that no rule ignores."""
-    every = listing(spark, root)
-    kept = not_ignored(every, ignore_frames(spark, root, config))
+    base = os.path.realpath(root)
+    found = written(listing(spark, root, [*config.ignore, *global_rules(base)]), "listing")
+    kept = found.where("kind = 'file'").select("path", "mtime", "size")
     if not config.detect_subprojects:
         return kept.withColumn("subproject", F.lit(None).cast("string"))
-    base = os.path.realpath(root)
-    # a repository's directory holds .git, as a directory or a file; only its own entry is looked for
-    markers = [os.path.relpath(d, base) for d, subs, files in os.walk(base) if d != base and (".git" in subs or ".git" in files)]
-    rows = spark.createDataFrame([(m.replace(os.sep, "/"),) for m in markers], "dir string")
-    return subproject_of(kept, rows)
+    return subproject_of(kept, found.where("kind = 'marker'").select(F.col("path").alias("dir")))

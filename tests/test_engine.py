@@ -73,6 +73,83 @@ def test_split_identifier(spark):
         assert r["w"] == cases[r["s"]], r
 
 
+def test_walk_prunes_and_marks(spark, tmp_path):
+    """Ignored trees are never entered, ignore files hold where they are, nested repositories are marked, at any depth."""
+    from loomgraph.sources import walk
+
+    for f in ("a/b/c/d/e.py", "a/b/c/x.tmp", "a/b/c/skip/y.py", "node_modules/p/q.js", "a/b/sub/.git/HEAD", "a/b/sub/z.py", "_under/.dot/u.py"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x = 1\n")
+    (tmp_path / "a/b/c/.gitignore").write_text("skip/\n*.tmp\n")
+    entered = []
+    real = walk._scan
+    try:
+        walk._scan = lambda base, d: entered.append(d) or real(base, d)
+        got = {r["path"]: r["subproject"] for r in walk.walk(spark, str(tmp_path)).collect()}
+    finally:
+        walk._scan = real
+    assert got == {"a/b/c/.gitignore": None, "a/b/c/d/e.py": None, "a/b/sub/z.py": "a/b/sub", "_under/.dot/u.py": None}
+    assert "node_modules" not in entered
+
+
+def test_no_caps_in_extraction():
+    """Signatures, doc comments and visibility are found however long what stands before them is."""
+    params = ", ".join(f"parameter_number_{i}" for i in range(400))
+    comment = "\n".join(f"# {i}" for i in range(200))
+    rows = extract.records("x.py", "python", f"def f({params}):\n    return 1\n", 1)
+    f = next(r for r in rows if r.get("name") == "f")
+    assert f["signature"].startswith("def f(parameter_number_0") and "return" not in f["signature"]
+    js = extract.records("x.js", "javascript", comment.replace("# ", "// ") + "\nfunction g() {}\n", 1)
+    assert next(r for r in js if r.get("name") == "g")["doc"].startswith("0 1 2")
+    java = "class A {\n" + "@Mark " * 60 + "public int get() { return 1; }\n}\n"
+    get = next(r for r in extract.records("A.java", "java", java, 1) if r.get("name") == "get")
+    assert get["name"] == "get"
+
+
+def test_script_blanking():
+    from loomgraph.packs.scan import blank_script
+
+    text = "a = b / c / d; r = /x[/{]`'/g; s = `t ${f(`${g()}`)} }`; // {\n'{' + \"}\" /* { */"
+    out = blank_script(text)
+    assert len(out) == len(text) and "f(" in out and "g()" in out and "b / c / d" in out
+    assert "{" not in out and "}" not in out and "x[" not in out
+
+
+def test_one_task_and_distributed_graphs_agree(spark):
+    import random
+
+    rng = random.Random(5)
+    e = spark.createDataFrame([(rng.randrange(60), rng.randrange(60), "EXACT") for _ in range(150)], "src_id bigint, dst_id bigint, confidence string")
+    n = spark.range(60).select("id")
+    big = (1 << 62) + 1  # ids beyond what floats hold
+    e, n = e.select((F.col("src_id") + big).alias("src_id"), (F.col("dst_id") + big).alias("dst_id"), "confidence"), n.select((F.col("id") + big).alias("id"))
+    a, b = ({r["id"]: r["rank"] for r in graph.pagerank(n, e, one_task_links=k).collect()} for k in (0, 10_000))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    for src, dst in ((big, big + 7), (big + 3, big + 59), (big + 12, big + 12), (big + 1, 999)):
+        assert graph.shortest_path(e, src, dst, one_task_links=0) == graph.shortest_path(e, src, dst)
+
+
+def test_directions_and_embedding_configuration():
+    from loomgraph.operators import similar
+
+    assert graph.check_direction("impact") == "impact"
+    with pytest.raises(ValueError, match="callers"):
+        graph.check_direction("sideways")
+    with pytest.raises(ValueError, match="provider.*model.*dim"):
+        similar.check_embedding_config("none", None, -1)
+    similar.check_embedding_config("local", "m", 3, "http://x")
+
+
+def test_usage_ledger_appends(spark, tmp_path):
+    from loomgraph.operators import health
+
+    rows = spark.createDataFrame([("find", 10, 100)], "tool string, tokens_returned int, tokens_source int")
+    for _ in range(2):
+        health.write_ledger(rows, str(tmp_path / "ledger"))
+    got = health.usage_ledger(spark.read.parquet(str(tmp_path / "ledger"))).first()
+    assert (got["calls"], got["tokens_returned"], got["saved_percent"]) == (2, 20, 90)
+
+
 def test_broken_file_is_a_row():
     rows = extract.records("x.py", "python", "def broken(:\n  class", 1)
     assert rows and rows[0]["record"] in ("node", "error")
