@@ -172,7 +172,8 @@ def _leaves(tree: int, keys: np.ndarray, p: MinHashParams, hot: np.ndarray):
 
 def hot_nodes(sigs: DataFrame, p: MinHashParams) -> np.ndarray:
     """Sorted nodes, of levels depth to max_depth, that hold at least ``hot_share`` of a bounded sample (and enough of it to tell)."""
-    some = sigs.select("doc_id", "sig").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample).select("sig")
+    every = max(1, -(-sigs.count() // p.sample))
+    some = sigs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("sig")  # about ``sample`` of them, wherever they are
     least = max(20, int(p.hot_share * p.sample))
 
     def run(it):
