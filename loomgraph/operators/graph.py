@@ -185,10 +185,33 @@ def explore(edges: DataFrame, nodes: DataFrame, files: DataFrame, externals: Dat
     return {"degree": degree(nodes.where(F.col("id") == node_id), edges.where((F.col("src_id") == node_id) | (F.col("dst_id") == node_id))), "callers": callers(edges, nodes, files, node_id, limit), "callees": callees(edges, nodes, files, externals, node_id, limit)}
 
 
+#: Levels of the blocks that ranges of lines are cut into: all of a 32-bit line number.
+LINE_LEVELS = 31
+
+
+def _blocks(first, last):
+    """The (level, block) that a range of lines is made of, a block of level k being 2^k lines: at most two of each level, none overlapping."""
+
+    def of(k):
+        lo, hi = -F.call_function("shiftright", -first, k), F.call_function("shiftright", last + 1, k)
+        own = lambda odd, block: F.when((lo < hi) & (odd.bitwiseAND(1) == 1), F.struct(k.alias("level"), block.alias("block")))
+        return F.array(own(lo, lo), own(hi, hi - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LINE_LEVELS)), of)))
+
+
 def upgrade_by_proof(edges: DataFrame, proofs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose target a proof (edge_id, file_id, line) names become EXACT and point to the innermost node there."""
-    at = proofs.alias("p").join(nodes.alias("n"), (F.col("p.file_id") == F.col("n.file_id")) & (F.col("n.start_line") <= F.col("p.line")) & (F.col("n.end_line") >= F.col("p.line")))
-    inner = at.where("n.kind != 'module'").groupBy(F.col("p.edge_id").alias("id")).agg(F.min_by("n.id", F.struct(F.col("n.end_line") - F.col("n.start_line"), F.col("n.id"))).alias("proven"))
+    """Edges whose target a proof (edge_id, file_id, line) names become EXACT and point to the innermost node there.
+
+    Ranges are cut into blocks, of which each keeps its shortest range; a line then looks up the one block of every level that it is in, so
+    that no line meets all ranges of its file."""
+    shortest = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id")
+    ranges = nodes.where("kind != 'module'").groupBy("file_id", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line")).agg(F.min("id").alias("id"))
+    blocks = ranges.select("file_id", shortest.alias("inner"), F.explode(_blocks(F.col("start_line"), F.col("end_line"))).alias("b")).groupBy("file_id", "b.level", "b.block").agg(F.min("inner").alias("inner"))
+    proofs = proofs.select("edge_id", "file_id", F.col("line").cast("bigint").alias("line"))
+    lines = proofs.select("file_id", "line").distinct().select("file_id", "line", F.explode(F.sequence(F.lit(0), F.lit(LINE_LEVELS))).alias("level"))
+    at = lines.withColumn("block", F.call_function("shiftright", F.col("line"), F.col("level"))).join(blocks, ["file_id", "level", "block"]).groupBy("file_id", "line").agg(F.min("inner").alias("inner"))
+    inner = proofs.join(at, ["file_id", "line"]).groupBy(F.col("edge_id").alias("id")).agg(F.min("inner").alias("inner")).select("id", F.col("inner.id").alias("proven"))
     changed = F.col("proven").isNotNull() & (F.col("confidence") == "INFERRED")
     return edges.join(inner, "id", "left").select(*[F.when(changed, F.col("proven")).otherwise(F.col(c)).alias(c) if c == "dst_id" else F.when(changed, "EXACT").otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in edges.columns])
 

@@ -184,3 +184,25 @@ def test_shortest_path_and_impact(spark):
     n = spark.createDataFrame([(i, 0.1) for i in range(1, 5)], "id bigint, rank double")
     got = {r["id"]: r["distance"] for r in graph.impact(e, n, 4, 3).collect()}
     assert got == {3: 1, 1: 1, 2: 2}
+
+
+def test_proofs_find_the_innermost_range(spark):
+    """Against all pairs, with odd ranges; and one large file is no product of its lines and ranges."""
+    import random
+
+    rng = random.Random(3)
+    nodes = [(i, rng.randrange(3), rng.choice(["function", "class", "module"]), a, a + rng.choice([-2, 0, 1, 2, 7, 40, 1000])) for i, a in ((i, rng.randrange(-5, 130)) for i in range(300))] + [(300, 0, "class", None, 5), (301, 1, "class", -(1 << 31), (1 << 31) - 1)]
+    proofs = [(i % 350, rng.randrange(4), rng.choice([rng.randrange(-9, 200), (1 << 31) - 1])) for i in range(400)] + [(7, 0, None), (8, None, 3)]
+    n = spark.createDataFrame(nodes, "id bigint, file_id bigint, kind string, start_line int, end_line int")
+    edges = spark.createDataFrame([(i, -1, "EXACT" if i % 9 == 0 else "INFERRED") for i in range(360)], "id bigint, dst_id bigint, confidence string")
+    want = {}
+    for i in range(360):
+        hits = [(e - a, k) for p, f, line in proofs if p == i and None not in (f, line) for k, g, kind, a, e in nodes if g == f and kind != "module" and a is not None and a <= line <= e]
+        want[i] = (-1, "EXACT") if i % 9 == 0 else (min(hits)[1], "EXACT") if hits else (-1, "INFERRED")
+    got = graph.upgrade_by_proof(edges, spark.createDataFrame(proofs, "edge_id bigint, file_id bigint, line int"), n)
+    assert {r["id"]: (r["dst_id"], r["confidence"]) for r in got.collect()} == want
+    many = spark.range(20_000)
+    wide = many.select("id", F.lit(1).alias("file_id"), F.lit("class").alias("kind"), F.lit(1).alias("start_line"), (F.col("id").cast("int") + 20_000).alias("end_line"))
+    got = graph.upgrade_by_proof(many.select("id", F.lit(-1).alias("dst_id"), F.lit("INFERRED").alias("confidence")), many.select(F.col("id").alias("edge_id"), F.lit(1).alias("file_id"), (F.col("id").cast("int") + 1).alias("line")), wide)
+    assert got.where("dst_id != 0 or confidence != 'EXACT'").isEmpty()
+    assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("<=", ">="))  # joined on equal keys alone
