@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.shared import written
+from loomgraph.operators import rank
+from loomgraph.operators.shared import dispose, written
 
 DIRECTIONS = ("callees", "callers", "explore", "impact", "path")
 
@@ -216,31 +217,24 @@ def upgrade_by_proof(edges: DataFrame, proofs: DataFrame, nodes: DataFrame) -> D
     return edges.join(inner, "id", "left").select(*[F.when(changed, F.col("proven")).otherwise(F.col(c)).alias(c) if c == "dst_id" else F.when(changed, "EXACT").otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in edges.columns])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, checkpoint_every: int = 5, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, rank): power iteration from 1/n, parallel edges counted, the mass of nodes without targets spread evenly; divided by the maximum at the end.
 
-    The links are written once; every iteration is one join by source and one aggregate on the
-    target. Ranks are written every few iterations: the plan stays short, and lost executors cost at most that many. A small graph is
-    ranked by one task, over arrays."""
+    The links are written once. A small graph is ranked by one task, over arrays; a larger one by blocks of nodes (``rank``)."""
     known = nodes.select("id")
-    links = edges.where("dst_id is not null").join(known.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(known.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
-    out = links.groupBy("src_id").agg(F.count(F.lit(1)).alias("out"))
-    links = written(links.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("m")).join(out, "src_id").select("src_id", "dst_id", (F.col("m") / F.col("out")).alias("share")), "pagerank-links")
-    base = written(known.join(out.select(F.col("src_id").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), "pagerank-nodes")
-    n = base.count()
+    links = written(edges.where("dst_id is not null").select("src_id", "dst_id"), "pagerank-links")
+    n = known.count()
     if not n:
-        return base.select("id", F.lit(0.0).alias("rank"))
-    if n <= one_task_links and _few(links, one_task_links):
-        return _pagerank_at_once(base, links, n, damping, iterations)
-    rank = base.select("id", "dangling", F.lit(1.0 / n).alias("r"))
-    for i in range(1, iterations + 1):
-        given = links.join(rank.select(F.col("id").alias("src_id"), "r"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)).alias("lost"))
-        rank = base.join(given, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)).alias("r"))
-        if i % checkpoint_every == 0 or i == iterations:
-            rank = written(rank, "pagerank")
-    top = rank.agg(F.max("r").alias("top"))
-    return rank.crossJoin(F.broadcast(top)).select("id", (F.col("r") / F.col("top")).alias("rank"))
+        return known.select("id", F.lit(0.0).alias("rank"))
+    if n > one_task_links or not _few(links, one_task_links):
+        out = rank.by_blocks(known, links, n, damping, iterations)
+        dispose(links)
+        return out
+    links = links.join(known.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(known.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
+    out = links.groupBy("src_id").agg(F.count(F.lit(1)).alias("out"))
+    links = links.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("m")).join(out, "src_id").select("src_id", "dst_id", (F.col("m") / F.col("out")).alias("share"))
+    base = known.join(out.select(F.col("src_id").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"))
+    return _pagerank_at_once(base, links, n, damping, iterations)
 
 
 def _pagerank_at_once(base: DataFrame, links: DataFrame, n: int, damping: float, iterations: int) -> DataFrame:

@@ -24,20 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; the table is deleted by ``dispose``, at the latest when the driver's JVM ends."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, in folders ``by`` a column where that is named, and read back; the table is deleted by ``dispose``, at the latest when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(at.getParent())
     files.deleteOnExit(at)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+def folder(df: DataFrame) -> str:
+    """Where a written table is, with its scheme, for tasks that read parts of it themselves."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return path if "://" in path else path.replace("file:/", "file:///", 1)
+
+
 def dispose(*frames: DataFrame | None) -> None:
     """Delete written tables that nothing reads any more: what was made of them has been written itself."""
     for df in frames:

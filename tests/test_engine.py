@@ -206,3 +206,23 @@ def test_proofs_find_the_innermost_range(spark):
     got = graph.upgrade_by_proof(many.select("id", F.lit(-1).alias("dst_id"), F.lit("INFERRED").alias("confidence")), many.select(F.col("id").alias("edge_id"), F.lit(1).alias("file_id"), (F.col("id").cast("int") + 1).alias("line")), wide)
     assert got.where("dst_id != 0 or confidence != 'EXACT'").isEmpty()
     assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("<=", ">="))  # joined on equal keys alone
+
+
+def test_pagerank_by_blocks(spark):
+    """A hub, loops, parallel edges, strangers and lone nodes, as one task ranks them; an iteration is one job without a shuffle."""
+    from loomgraph.operators import rank
+
+    n = spark.range(3_000).select((F.col("id") * 7).alias("id"))
+    e = spark.range(20_000).select((F.col("id") * 7 % 14_000).alias("src_id"), F.when(F.col("id") % 3 == 0, 21).when(F.col("id") % 11 == 0, 5).when(F.col("id") % 13 != 0, F.col("id") * F.col("id") % 3_500 * 7).alias("dst_id"))
+    sc, stages = spark.sparkContext, {}
+    got = {}
+    for k in (2, 6):
+        sc.setJobGroup(f"rank-{k}", "")
+        got[k] = {r["id"]: r["rank"] for r in graph.pagerank(n, e, iterations=k, one_task_links=0).collect()}
+        stages[k] = sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup(f"rank-{k}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[6] - stages[2] == 4
+    one = {r["id"]: r["rank"] for r in graph.pagerank(n, e, iterations=6).collect()}
+    assert one.keys() == got[6].keys() and all(one[i] == pytest.approx(got[6][i]) for i in one)
+    runs = list(rank._runs(rank.np.array([3] * (rank.ROW_LINKS + 1) + [4])))
+    assert runs == [(0, rank.ROW_LINKS), (rank.ROW_LINKS, rank.ROW_LINKS + 1), (rank.ROW_LINKS + 1, rank.ROW_LINKS + 2)]
