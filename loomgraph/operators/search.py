@@ -10,11 +10,12 @@ import functools
 import math
 import operator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import basename, identifier_parts, trigrams
+from loomgraph.operators.shared import spread, written
 
 HIT = ["id", "kind", "name", "qname", "signature", "rank", "path", "lang"]
 SCORES = {"exact": 100, "prefix": 40, "text": 25, "fuzzy": 10, "file": 8}
@@ -150,7 +151,7 @@ def postings(nodes: DataFrame) -> DataFrame:
     """(term, node_id, field, tf): full-text postings of names, their parts, qualified names, signatures and docs."""
     fields = {"name": F.col("name"), "parts": identifier_parts(F.col("name")), "qname": F.col("qname"), "signature": F.col("signature"), "doc": F.col("doc")}
     pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.coalesce(v, F.lit("")).alias("body")) for k, v in fields.items()])
-    one = symbols(nodes).select(F.col("id").alias("node_id"), F.explode(pairs).alias("f")).select("node_id", "f.field", F.explode(F.split(F.lower(fold_diacritics(F.col("f.body"))), r"[^\p{L}\p{N}_]+")).alias("term"))
+    one = spread(symbols(nodes).select("id", "name", "qname", "signature", "doc"), "id").select(F.col("id").alias("node_id"), F.explode(pairs).alias("f")).select("node_id", "f.field", F.explode(F.split(F.lower(fold_diacritics(F.col("f.body"))), r"[^\p{L}\p{N}_]+")).alias("term"))
     return one.where("term != ''").groupBy("term", "node_id", "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -168,15 +169,17 @@ def full_text(nodes: DataFrame, index: DataFrame, q: str, limit: int = 60, k1: f
     words = sorted({w for t in query_terms(q) for w in re.split(r"[^\w]+", t.lower()) if w})
     if not words:
         return nodes.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    length = index.groupBy("node_id").agg(F.sum("tf").alias("len"))
-    total = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg"))
-    # a term counts for every word that it begins with
-    match = F.array_compact(F.array(*[F.when(F.startswith("term", F.lit(w)), F.lit(w)) for w in words]))
-    hit = index.withColumn("word", F.explode(match)).groupBy("word", "node_id").agg(F.sum("tf").alias("tf"))
-    df = hit.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = hit.join(df, "word").join(length, "node_id").crossJoin(F.broadcast(total)).groupBy("node_id").agg(F.sum(part).alias("bm25"))
+    # one row for each node: its length, and what terms begin with each word (a term counts for every word that it begins with)
+    tf = [f"tf{i}" for i in range(len(words))]
+    found = [F.coalesce(F.sum(F.when(F.startswith("term", F.lit(w)), F.col("tf"))), F.lit(0)).alias(c) for w, c in zip(words, tf)]
+    each = written(index.groupBy("node_id").agg(F.sum("tf").alias("len"), *found), "full-text")
+    total = each.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in tf])
+    parts = [_bm25(F.col(c), F.col(f"d{c}"), k1, b) for c in tf]
+    scored = each.where(functools.reduce(operator.or_, [F.col(c) > 0 for c in tf])).crossJoin(F.broadcast(total)).select("node_id", functools.reduce(operator.add, parts).alias("bm25"))
     return scored.select(F.col("node_id").alias("id"), "bm25").orderBy(F.desc("bm25"), "id").limit(limit)
 
 
+def _bm25(tf: Column, df: Column, k1: float, b: float) -> Column:
+    """What a word adds to the score of a node of ``len`` terms, 0 where it isn't found."""
+    idf = F.log((F.col("docs") - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))

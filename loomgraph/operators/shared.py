@@ -59,3 +59,10 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     if key not in df.sparkSession.conf.getAll:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``df`` by keys over all cores, before a step that takes long or grows: a small file of many rows is read by one task. The number isn't
+    left to the planner, which would merge what is small still."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)

@@ -226,3 +226,36 @@ def test_pagerank_by_blocks(spark):
     assert one.keys() == got[6].keys() and all(one[i] == pytest.approx(got[6][i]) for i in one)
     runs = list(rank._runs(rank.np.array([3] * (rank.ROW_LINKS + 1) + [4])))
     assert runs == [(0, rank.ROW_LINKS), (rank.ROW_LINKS, rank.ROW_LINKS + 1), (rank.ROW_LINKS + 1, rank.ROW_LINKS + 2)]
+
+
+def test_full_text_spreads_and_scores(spark):
+    """Scores against their formula; nodes of one partition are indexed by many tasks."""
+    import math
+    import re
+
+    from loomgraph.operators import search
+
+    names = ["red widget", "reWidget", "blue thing", "widgets red re", "", "Réd", None]
+    rows = [(i, "function", names[i % 7], f"Brand::{i % 3}", f"red sig {i % 5}" if i % 2 else None, "re" if i % 4 == 0 else None) for i in range(300)]
+    n = spark.createDataFrame(rows, "id bigint, kind string, name string, qname string, signature string, doc string").coalesce(1)
+    index = search.postings(n)
+    per = [r["count"] for r in index.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(per) < sum(per) / 3
+    terms = {}
+    for i, _, name, qname, sig, doc in rows:
+        words = re.sub(r"([a-z])([A-Z])", r"\1 \2", name or "")
+        body = [name, words if words != (name or "") or " " in words else "", qname, sig, doc]
+        terms[i] = [t for x in body for t in re.split(r"[^\w]+", (x or "").lower().replace("é", "e")) if t]
+    have = {}
+    for r in index.collect():
+        have[r["node_id"]] = have.get(r["node_id"], 0) + r["tf"]
+    terms = {i: t for i, t in terms.items() if t}
+    assert have.keys() == terms.keys()
+    avg, want = sum(have.values()) / len(have), {}
+    for w in ("re", "red", "widget"):
+        tf = {i: c for i, t in terms.items() if (c := sum(x.startswith(w) for x in t))}
+        for i, c in tf.items():
+            want[i] = want.get(i, 0) + math.log((len(have) - len(tf) + 0.5) / (len(tf) + 0.5) + 1) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * have[i] / avg))
+    got = {r["id"]: r["bm25"] for r in search.full_text(n, index, "re red widget", 1000).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert search.full_text(n, index, "absent").isEmpty() and search.full_text(n, index, " ").isEmpty()
