@@ -259,3 +259,11 @@ def test_full_text_spreads_and_scores(spark):
     got = {r["id"]: r["bm25"] for r in search.full_text(n, index, "re red widget", 1000).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
     assert search.full_text(n, index, "absent").isEmpty() and search.full_text(n, index, " ").isEmpty()
+
+
+def test_files_of_one_partition_are_scanned_by_many_tasks(spark):
+    f = spark.range(200).select("id", F.concat(F.lit("f"), "id", F.lit(".ts")).alias("path"), F.lit("typescript").alias("lang"), F.concat(F.lit("function g"), "id", F.lit("() { return 1; }")).alias("text")).coalesce(1)
+    nodes = extract.extract(f)["nodes"]
+    assert nodes.where("kind = 'function'").count() == 200
+    per = [r["count"] for r in nodes.groupBy(F.input_file_name().alias("by")).count().collect()]
+    assert max(per) < sum(per) / 3
